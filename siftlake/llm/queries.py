@@ -5,10 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlake.llm import leakage, mixing, spans
+from siftlake.llm import credentials, leakage, mixing, spans
 from siftlake.session import checkpoint, table
 
 
+def _credentials(spark: SparkSession, d: str) -> DataFrame:
+    files = credentials.scan(table(spark, d, "github_files"), "file_id", "code", F.col("path"), "github_files")
+    found = credentials.scan(table(spark, d, "findings"), "finding_id", "snippet", F.col("file"), "findings", snippet=True)
+    sent = credentials.scan(table(spark, d, "finding_payloads"), "payload_id", "snippet", F.col("file"), "finding_payloads", snippet=True)
+    return files.unionByName(found).unionByName(sent)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _credentials(spark, d).select("tab", "row_id", F.explode("lines").alias("line_no")).distinct()
+
+
+def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """The texts that held credentials, with the contents masked and all else as it was."""
+    return _credentials(spark, d).select("tab", "row_id", F.size("lines").alias("n_credentials"), "redacted").distinct()
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -53,7 +69,7 @@ def p10_shared_part(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_selection": p9_selection, "p9_shares": p9_shares,
+    "p3_found": p3_found, "p3_redacted": p3_redacted, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_selection": p9_selection, "p9_shares": p9_shares,
     "p10_found": p10_found, "p10_passages": p10_passages, "p10_shared_part": p10_shared_part,
 }
 ORACLE_SQL: dict[str, str] = {}
