@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlake.llm import credentials, leakage, mixing, spans
+from siftlake.llm import credentials, handwritten, leakage, mixing, spans
+from siftlake.llm.languages import file_languages
 from siftlake.session import checkpoint, table
 
 
@@ -25,6 +26,21 @@ def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
     return _credentials(spark, d).select("tab", "row_id", F.size("lines").alias("n_credentials"), "redacted").distinct()
 
 
+def _not_handwritten(spark: SparkSession, d: str) -> DataFrame:
+    kinds = handwritten.classify(table(spark, d, "github_files"))
+    listed = file_languages(table(spark, d, "scan_results"))
+    return kinds.join(listed, "file_id").where(~F.col("language").isin("json", "text"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _not_handwritten(spark, d).select("file_id").distinct()
+
+
+def p6_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Why each file is not hand-written."""
+    return _not_handwritten(spark, d).select("file_id", "language", "kind").distinct()
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -69,7 +85,8 @@ def p10_shared_part(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p3_found": p3_found, "p3_redacted": p3_redacted, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_selection": p9_selection, "p9_shares": p9_shares,
+    "p3_found": p3_found, "p3_redacted": p3_redacted, "p6_found": p6_found, "p6_kinds": p6_kinds,
+    "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_selection": p9_selection, "p9_shares": p9_shares,
     "p10_found": p10_found, "p10_passages": p10_passages, "p10_shared_part": p10_shared_part,
 }
 ORACLE_SQL: dict[str, str] = {}
