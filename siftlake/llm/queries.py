@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlake.llm import credentials, handwritten, leakage, mixing, spans
+from siftlake.llm import credentials, handwritten, leakage, mixing, spans, syntax
 from siftlake.llm.languages import file_languages
 from siftlake.session import checkpoint, table
 
@@ -41,6 +41,23 @@ def p6_kinds(spark: SparkSession, d: str) -> DataFrame:
     return _not_handwritten(spark, d).select("file_id", "language", "kind").distinct()
 
 
+def _repairs(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.repairs(table(spark, d, "github_files"), file_languages(table(spark, d, "scan_results")))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _repairs(spark, d).where("cost > 0").select("file_id").distinct()
+
+
+def p7_repairs(spark: SparkSession, d: str) -> DataFrame:
+    """The files that do not parse, with the cost of their repair and what happened to them."""
+    return _repairs(spark, d).where("cost > 0").distinct()
+
+
+def p7_rates(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.rates(_repairs(spark, d), table(spark, d, "github_files"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -86,7 +103,7 @@ def p10_shared_part(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p3_found": p3_found, "p3_redacted": p3_redacted, "p6_found": p6_found, "p6_kinds": p6_kinds,
-    "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_selection": p9_selection, "p9_shares": p9_shares,
+    "p7_found": p7_found, "p7_repairs": p7_repairs, "p7_rates": p7_rates, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_selection": p9_selection, "p9_shares": p9_shares,
     "p10_found": p10_found, "p10_passages": p10_passages, "p10_shared_part": p10_shared_part,
 }
 ORACLE_SQL: dict[str, str] = {}
