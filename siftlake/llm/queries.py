@@ -5,11 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlake.llm import credentials, handwritten, leakage, mixing, spans, syntax
+from siftlake.llm import credentials, handwritten, leakage, linkage, mixing, spans, syntax
 from siftlake.llm.languages import file_languages
 from siftlake.session import checkpoint, table
 
 
+def p1_links(spark: SparkSession, d: str) -> DataFrame:
+    """Each advisory with the CVE it most likely describes, and the confidence of the match."""
+    feeds = table(spark, d, "feeds").select("feed", "tz_name", "day_first")
+    return linkage.link(table(spark, d, "advisory_records"), table(spark, d, "cve_records"), feeds, "опубликовано_at")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_links(spark, d).select("ghsa_id", "cve_id")
+
+
 def _credentials(spark: SparkSession, d: str) -> DataFrame:
     files = credentials.scan(table(spark, d, "github_files"), "file_id", "code", F.col("path"), "github_files")
     found = credentials.scan(table(spark, d, "findings"), "finding_id", "snippet", F.col("file"), "findings", snippet=True)
@@ -102,7 +112,7 @@ def p10_shared_part(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p3_found": p3_found, "p3_redacted": p3_redacted, "p6_found": p6_found, "p6_kinds": p6_kinds,
+    "p1_found": p1_found, "p1_links": p1_links, "p3_found": p3_found, "p3_redacted": p3_redacted, "p6_found": p6_found, "p6_kinds": p6_kinds,
     "p7_found": p7_found, "p7_repairs": p7_repairs, "p7_rates": p7_rates, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_selection": p9_selection, "p9_shares": p9_shares,
     "p10_found": p10_found, "p10_passages": p10_passages, "p10_shared_part": p10_shared_part,
 }
