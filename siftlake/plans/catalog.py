@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftlake.plans import data_queries
+from siftlake.plans import data_queries, reference_queries
 
-_MODULES = [data_queries]
+_MODULES = [data_queries, reference_queries]
 
 
 def queries() -> dict:
@@ -18,4 +18,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return data_queries.p5_found(spark, d)
+    return reference_queries.scan_rule_counts(spark, d)
