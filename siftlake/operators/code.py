@@ -124,7 +124,7 @@ def metrics(files: DataFrame, file_id: str, code: str) -> DataFrame:
     Nesting is a running balance that never falls below 0, folded over the text's brackets.
     """
     ls = tx.lines(F.col(code))
-    trimmed = F.transform(ls, F.trim)
+    trimmed = F.transform(ls, lambda x: F.trim(x))
     count = lambda p: F.size(F.filter(trimmed, lambda x: x.rlike(p)))
     brackets = F.split(F.regexp_replace(F.col(code), r"[^{}()\[\]]", ""), "")
     depth = F.aggregate(
@@ -137,7 +137,7 @@ def metrics(files: DataFrame, file_id: str, code: str) -> DataFrame:
     return files.where(F.col(code).isNotNull()).select(
         F.col(file_id).alias("file_id"), F.size(ls).alias("n_lines"), count("^$").alias("blank"), count(r"^(#|//|/\*|\*)").alias("comment"),
         count(r"\b(TODO|FIXME|HACK|XXX)\b").alias("todo"), count(r"\b(print|console\.log|fmt\.Print\w*|println!)\s*\(").alias("debug"),
-        F.array_max(F.transform(ls, F.length)).alias("longest"), depth.alias("nesting"),
+        F.array_max(F.transform(ls, lambda x: F.length(x))).alias("longest"), depth.alias("nesting"),
         count(r"^(async\s+)?(export\s+)?(def|function|func|fn|pub fn)\b").alias("functions"),
     )
 
@@ -168,8 +168,9 @@ SANITIZERS = ["escape", "quote", "sanitize", "validate", "int"]
 
 
 def taint_graph(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of the data flow per file: names flow into assignments and calls, calls into what they are assigned to."""
-    assigned = facts.where("kind = 'assignment'").select("file_id", F.concat(F.lit("v:"), "name").alias("dst"), F.explode(tx.identifiers(F.col("detail"))).alias("w"), "line")
+    """(nodes, edges) of the data flow per file: names flow into assignments and calls. What a sanitizer's call returns is clean."""
+    clean = F.col("detail").rlike(r"\b(?:" + "|".join(SANITIZERS) + r")\w*\s*\(")
+    assigned = facts.where("kind = 'assignment'").where(~clean).select("file_id", F.concat(F.lit("v:"), "name").alias("dst"), F.explode(tx.identifiers(F.col("detail"))).alias("w"), "line")
     edges = assigned.select("file_id", F.concat(F.lit("v:"), "w").alias("src"), "dst", "line")
     passed = facts.where("kind = 'call'").select("file_id", F.concat(F.lit("c:"), "name").alias("dst"), F.explode("args").alias("a"), "line")
     edges = edges.unionByName(passed.select("file_id", "dst", F.explode(tx.identifiers(F.col("a"))).alias("w"), "line").select("file_id", F.concat(F.lit("v:"), "w").alias("src"), "dst", "line"))
