@@ -30,6 +30,7 @@ _ADDRESS = r"[A-Za-z][A-Za-z0-9+.-]*://(?P<user>[^\s:/@\"'`<>]*):(?P<login>[^\s/
 _SETTING = r"(?i:(?<![A-Za-z])(?:password|passwd|pwd|pass|accountkey|sharedaccesskey|sharedsecret|secretkey))\s*=\s*(?P<setting>[^;\"'`\n]+)"
 _HEADER = r"(?i:authorization[\"']?\s*[:=]\s*[\"'`]?\s*)?(?P<scheme>(?i:bearer|basic)|(?<=: )token|(?<=[\"'`])token)\s+(?P<header>[A-Za-z0-9+/_.~=-]{8,})"
 _QUERY = r"[?&](?i:access_token|auth_token|token|api_?key|key|sig|signature|secret|password)=(?P<query>[^&\s\"'`#]{8,})"
+_KEY_END = re.compile(r"-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
 _FORMS = re.compile(f"(?P<issued>{_ISSUED})|(?P<block>{_KEY_BLOCK})|{_ADDRESS}|{_HEADER}|{_QUERY}")
 _SETTINGS = re.compile(_SETTING)
 
@@ -118,7 +119,10 @@ def _forms(text: str, lo: int, hi: int):
                 break
         value = m.group(kind)
         if kind == "block":
-            end = re.compile(r"-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----").search(text, m.end(), hi)
+            end = _KEY_END.search(text, m.end(), hi)
+            body = text[m.end() : end.start() if end else hi]
+            if "*" in body and not re.search("[A-Za-z0-9+/]{8}", body):
+                continue  # masked
             yield m.start(), end.end() if end else hi, "private key"
         elif kind == "issued":
             if not re.search(r"(?i)example$|x{6,}|\*{3,}", value) and re.search("[0-9]|[a-z][A-Z]", value) and not text.startswith(("...", "***"), m.end()):

@@ -68,7 +68,7 @@ def notices(code: str, repo: str = "") -> str | None:
         kinds = {kind for kind, _ in hits}
         if "own" in kinds:
             return None
-        if own_name and own_name in text.replace("_", "-"):
+        if len(own_name) > 2 and re.search(rf"(?<![a-z0-9-]){re.escape(own_name)}(?![a-z0-9-])", text.replace("_", "-")):
             kinds.discard("vendored")
         found.update(kinds)
     if found["generated"]:
