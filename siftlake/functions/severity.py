@@ -14,6 +14,8 @@ RANKS = {
     "marker_order": ({"critical": 0, "high": 1, "medium": 2, "low": 3, "info": 4}, 5),
     "score_weight": ({"critical": 20, "high": 10, "medium": 5, "low": 1, "info": 0}, 0),
 }
+# The level that any of the tables' spellings stands for, ranked as dedup ranks the five levels.
+RANKS["level"] = ({**RANKS["threshold"][0], **RANKS["dedup"][0]}, 0)
 SARIF_LEVEL = ({"critical": "error", "high": "error", "medium": "warning", "low": "note", "info": "note"}, "warning")
 SARIF_CVSS = ({"critical": 9.8, "high": 7.8, "medium": 5.0, "low": 2.0, "info": 0.0}, 5.0)
 CODECLIMATE = ({"critical": ("critical", 50000), "high": ("critical", 50000), "medium": ("major", 10000)}, ("minor", 10000))

@@ -81,9 +81,10 @@ def best_representative(grouped: DataFrame, trust: dict[str, float] | None = Non
     per normalised value, the winner is taken with max_by, and the winners are pivoted back.
     rule_id and file_path: source trust (1.0 where `trust` names no scanner) times a decay that
     halves in `half_life_days` before the newest record of all; ties go to the smaller value.
-    line: the newest record that has one (ties: the larger raw_id). severity: the highest by
-    the dedup ranks; spellings outside them rank 0, and a group with nothing better is `info`.
-    A field that no record has is null. Empty input gives no rows.
+    line: the newest record that has one (ties: the larger raw_id). severity: each spelling counts
+    as the level it stands for in any of the tables (crit, error, warn, note, moderate ...),
+    and the highest level by the dedup ranks wins; other text and nulls vote for none, and a
+    group with neither is `info`. A field that no record has is null. Empty input gives no rows.
     """
     newest = grouped.agg(F.max("recorded_at").alias("__newest"))
     base = grouped.crossJoin(F.broadcast(newest))  # one row: an aggregate without keys
@@ -95,7 +96,7 @@ def best_representative(grouped: DataFrame, trust: dict[str, float] | None = Non
     vote = F.round(weight * 1_000_000).cast("long")  # integers: sums don't depend on their order
     moment = F.coalesce(F.unix_micros(F.col("recorded_at").cast("timestamp")), F.lit(-(1 << 62)))
     none = F.lit(None).cast("long")
-    sev_rank = rank("severity", "dedup")
+    sev_rank = rank("severity", "level")
 
     def field(name: str, value: Column, votes: Column, first: Column, second: Column) -> Column:
         return F.struct(F.lit(name).alias("field"), value.cast("string").alias("value"), votes.cast("long").alias("vote"), first.cast("long").alias("k1"), second.cast("long").alias("k2"))

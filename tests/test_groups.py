@@ -50,7 +50,7 @@ def test_groups_and_survivors(spark):
     ]
     out = {r.group_id: r for r in best_representative(duplicate_groups(spark.createDataFrame(rows, SCHEMA))).collect()}
     # 1-2 by place, 2-3-4 by fingerprint; the line is that of the newest record that has one
-    assert (out[1].rule_id, out[1].file_path, out[1].line, out[1].severity, out[1].n_records) == ("SEC-001", "x.py", 7, "medium", 4)
+    assert (out[1].rule_id, out[1].file_path, out[1].line, out[1].severity, out[1].n_records) == ("SEC-001", "x.py", 7, "critical", 4)
     assert out[5].n_records == 1 and out[5].severity == "high"
     assert (out[6].line, out[6].severity, out[6].n_records) == (None, "info", 2)
     assert set(out) == {1, 5, 6}
