@@ -168,13 +168,17 @@ SANITIZERS = ["escape", "quote", "sanitize", "validate", "int"]
 
 
 def taint_graph(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of the data flow per file: names flow into assignments and calls. What a sanitizer's call returns is clean."""
+    """(nodes, edges) of the data flow per file: names flow into assignments and calls, and arguments into the parameters
+    of the function of that name in the file. What a sanitizer's call returns is clean."""
     clean = F.col("detail").rlike(r"\b(?:" + "|".join(SANITIZERS) + r")\w*\s*\(")
     assigned = facts.where("kind = 'assignment'").where(~clean).select("file_id", F.concat(F.lit("v:"), "name").alias("dst"), F.explode(tx.identifiers(F.col("detail"))).alias("w"), "line")
     edges = assigned.select("file_id", F.concat(F.lit("v:"), "w").alias("src"), "dst", "line")
     passed = facts.where("kind = 'call'").select("file_id", F.concat(F.lit("c:"), "name").alias("dst"), F.explode("args").alias("a"), "line")
     edges = edges.unionByName(passed.select("file_id", "dst", F.explode(tx.identifiers(F.col("a"))).alias("w"), "line").select("file_id", F.concat(F.lit("v:"), "w").alias("src"), "dst", "line"))
-    edges = edges.distinct()
+    given = facts.where("kind = 'call'").select("file_id", F.element_at(F.split("name", r"\."), -1).alias("f"), F.posexplode("args").alias("k", "a"), "line")
+    taken = facts.where("kind = 'function'").select("file_id", F.col("name").alias("f"), F.posexplode("args").alias("k", "p"))
+    inward = given.join(taken, ["file_id", "f", "k"]).select("file_id", F.explode(tx.identifiers(F.col("a"))).alias("w"), "p", "line")
+    edges = edges.unionByName(inward.select("file_id", F.concat(F.lit("v:"), "w").alias("src"), F.concat(F.lit("v:"), "p").alias("dst"), "line")).distinct()
     nodes = edges.select("file_id", F.explode(F.array("src", "dst")).alias("node")).distinct()
     return nodes, edges
 

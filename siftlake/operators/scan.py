@@ -54,13 +54,18 @@ def scan(files: DataFrame, rules: Sequence[Rule], file_id: str, code: str, langu
         guards = sorted({r.guard for r in by_line if r.guard})
         flagged = base.select("*", *[F.col("__code").rlike(g).alias(f"__g{k}") for k, g in enumerate(guards)])
         exploded = flagged.select("file_id", "__lang", *[f"__g{k}" for k in range(len(guards))], F.posexplode(tx.lines(F.col("__code"))).alias("n", "__line"))
+        # Nearly all lines match nothing: one alternation of all patterns sets them aside.
+        exploded = exploded.where(F.col("__line").rlike("|".join(f"(?:{r.pattern})" for r in by_line)))
         hits = []
-        for r in by_line:
+        for k, r in enumerate(by_line):
             ok = gate(r, F.col("__line")) & F.col("__line").rlike(r.pattern)
             if r.guard:
                 ok = F.col(f"__g{guards.index(r.guard)}") & ok
-            hits.append(F.when(ok, F.struct(F.lit(r.pack).alias("pack"), F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.regexp_extract("__line", r.pattern, 0).alias("match"))))
-        found = exploded.select("file_id", (F.col("n") + 1).alias("line"), F.inline(F.array_compact(F.array(*hits))))
+            hits.append(F.when(ok, F.lit(k)))
+        found = exploded.select("file_id", (F.col("n") + 1).alias("line"), "__line", F.explode(F.array_compact(F.array(*hits))).alias("__rule"))
+        about = files.sparkSession.createDataFrame([(k, r.pack, r.rule_id, r.severity, r.pattern) for k, r in enumerate(by_line)], "__rule int, pack string, rule_id string, severity string, __pattern string")
+        # As many rows as there are rules.
+        found = found.join(F.broadcast(about), "__rule").withColumn("match", F.expr("regexp_extract(__line, __pattern, 0)"))
         out = found.select("file_id", "pack", "rule_id", "severity", "line", "match")
     whole = [r for r in rules if r.mode in ("text", "absent")]
     if whole:

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from siftlake.functions import severity as sv
 from siftlake.functions import text as tx
+from siftlake.operators import clean as cl
 from siftlake.operators import code as cd
 from siftlake.operators import dependencies as dp
+from siftlake.operators import facts as lf
 from siftlake.operators import findings as fd
 from siftlake.operators import fixes as fx
 from siftlake.operators import packs
@@ -464,6 +466,44 @@ def tainted_sinks(spark, d):
     return cd.tainted_sinks(_facts(spark, d))
 
 
+_FN = " ".join(f"WHEN '{lang}' THEN regexp_extract(l, '{p[0]}', 1)" for lang, p in lf.PATTERNS.items())
+
+
+@query(f"WITH ls AS ({_lines_sql('github_files', 'file_id', 'code', _EXT)}) SELECT file_id, name, CAST(n AS BIGINT) AS line FROM (SELECT *, CASE lang {_FN} END AS name FROM ls) WHERE name <> ''")
+def line_functions(spark, d):
+    files = table(spark, d, "github_files").withColumn("language", tx.lookup(F.lower("ext"), tx.EXTENSIONS))
+    return lf.line_facts(files, "file_id", "code", "language").where("kind = 'function'").select("file_id", "name", "line")
+
+
+@query(f"WITH ls AS ({_lines_sql('github_files', 'file_id', 'code', _EXT)}) SELECT file_id, count(*) AS n FROM ls WHERE lang IN ({', '.join(repr(x) for x in lf.PATTERNS)}) AND regexp_matches(l, '\\b(TODO|FIXME|HACK|XXX)\\b') GROUP BY file_id")
+def line_todos(spark, d):
+    files = table(spark, d, "github_files").withColumn("language", tx.lookup(F.lower("ext"), tx.EXTENSIONS))
+    return lf.line_facts(files, "file_id", "code", "language").where("kind = 'todo'").groupBy("file_id").agg(F.count("*").alias("n"))
+
+
+@query()
+def line_fact_counts(spark, d):
+    files = table(spark, d, "github_files").withColumn("language", tx.lookup(F.lower("ext"), tx.EXTENSIONS))
+    return lf.line_facts(files, "file_id", "code", "language").groupBy("file_id", "kind").agg(F.count("*").alias("n"))
+
+
+def _clean(spark, d, package):
+    files = table(spark, d, "github_files").withColumn("language", tx.lookup(F.lower("ext"), tx.EXTENSIONS))
+    return cl.cleaned(files, package=package).where("fixed_code <> code")
+
+
+@query(
+    f"""SELECT file_id, md5(fixed) AS fixed_md5 FROM (SELECT file_id, code, regexp_replace(CASE WHEN {_EXT} = 'python' THEN regexp_replace(regexp_replace(code, '\\s==\\s*None\\b', ' is None', 'g'), '\\s!=\\s*None\\b', ' is not None', 'g') ELSE code END, '(?m)[ \\t]+$', '', 'g') AS fixed FROM github_files) WHERE fixed <> code"""
+)
+def clean_safe(spark, d):
+    return _clean(spark, d, "safe").select("file_id", F.md5("fixed_code").alias("fixed_md5"))
+
+
+@query()
+def clean_destructive(spark, d):
+    return _clean(spark, d, "destructive").select("file_id", "applied", F.length("code").alias("before"), F.length("fixed_code").alias("after"))
+
+
 # --- exports -----------------------------------------------------------------------------------------
 
 

@@ -126,6 +126,44 @@ def test_python_facts_and_taint(spark):
     assert {r.sink for r in cd.tainted_sinks(facts).collect()} == {"os.system"}
 
 
+def test_taint_enters_functions(spark):
+    code = "def run(cmd):\n    os.system(cmd)\n\nraw = input()\nrun(raw)\n"
+    facts = cd.python_facts(spark.createDataFrame([(1, code)], "id long, code string"), "id", "code")
+    assert {r.sink for r in cd.tainted_sinks(facts).collect()} == {"os.system"}
+
+
+def test_cleaners(spark):
+    from siftlake.operators import clean as cl
+
+    rows = [("python", "if a == None:  \n    x = yaml.load(f)\nprint('DEBUG 1')\n"), ("javascript", "var a = 1;\nconsole.log(a);\n"), ("go", "x == None \n"), (None, None), ("python", "")]
+    df = spark.createDataFrame(rows, "language string, code string")
+    out = cl.cleaned(df, package="destructive").collect()
+    assert [r.fixed_code for r in out] == ["if a is None:\n    x = yaml.safe_load(f)\n", "let a = 1;\n", "x == None\n", None, ""]
+    assert out[0].applied == ["is-none", "trailing-blanks", "yaml-safe-load", "print-debug"]
+    again = cl.cleaned(spark.createDataFrame([(r.language, r.fixed_code) for r in out], "language string, code string"), package="destructive").collect()
+    assert [r.fixed_code for r in again] == [r.fixed_code for r in out]
+    worse = [cl.Rewrite("bad", "python", "run", "eval")]
+    r = cl.cleaned(spark.createDataFrame([("python", "run(x)")], "language string, code string"), rewrites=worse).first()
+    assert r.refused and r.fixed_code == "run(x)"
+
+
+def test_line_facts(spark):
+    from siftlake.operators import facts as lf
+
+    rows = [(1, "go", "func (t T) Run(a int) {\n\tfmt.Println(a) // TODO x\n}"), (2, "rust", "use a::b;\npub fn f<T>() {}\nstruct S;"), (3, "text", "func x("), (4, "java", None)]
+    got = {(r.file_id, r.kind, r.name) for r in lf.line_facts(spark.createDataFrame(rows, "id int, lang string, code string"), "id", "code", "lang").collect()}
+    assert {(1, "function", "Run"), (1, "call", "fmt.Println"), (1, "todo", "TODO"), (2, "import", "a::b"), (2, "function", "f"), (2, "class", "S")} <= got and not any(g[0] in (3, 4) for g in got)
+
+
+def test_settings(tmp_path):
+    from siftlake.sources import config
+
+    (tmp_path / "pyproject.toml").write_text('[tool.siftlake]\nprofile = "cli"\nlimits = {lock_depth = 3}\n')
+    (tmp_path / ".siftlake.json").write_text('{"severity": "low"}')
+    got = config.load(str(tmp_path), environment={"SIFTLAKE_LIMITS__TAINT_ROUNDS": "9", "OTHER": "x", "SIFTLAKE_FAIL_ON": "medium"})
+    assert got["profile"] == "cli" and got["severity"] == "low" and got["limits"] == {"taint_rounds": 9, "lock_depth": 3} and got["fail_on"] == "medium"
+
+
 def test_reachability_with_a_cycle(spark):
     edges = spark.createDataFrame([(1, "a", "b"), (1, "b", "c"), (1, "c", "a"), (1, "c", "x"), (1, "x", "y"), (2, "a", "z")], "file_id long, src string, dst string")
     seeds = spark.createDataFrame([(1, "a")], "file_id long, node string")
