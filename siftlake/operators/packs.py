@@ -131,6 +131,52 @@ _AI = [
     ("AI-101", "critical", r"(?i)\bmcp\b.*\b(?:environ|secret|token)\b", "Tool Server Secret Exfiltration", 0.7),
 ]
 
+_EXTENDED = [
+    ("SEC-073", "high", r"\.(?:get|get_object_or_404|find_by_id)\s*\([^)]*request\.(?:args|GET|params)", "Insecure Direct Object Reference", "CWE-639"),
+    ("SEC-074", "high", r"(?i)\buser_id\s*=\s*request\.", "Horizontal Privilege Escalation", "CWE-285"),
+    ("SEC-075", "critical", r"(?i)\b(?:is_admin|role)\s*=\s*request\.", "Vertical Privilege Escalation", "CWE-269"),
+    ("SEC-076", "critical", r"(?i)\b(?:md5|sha1)\s*\([^)]*passw", "Weak Hash for Passwords", "CWE-327"),
+    ("SEC-077", "high", r"\bMODE_ECB\b|/ECB/|-ecb\b", "ECB Mode", "CWE-327"),
+    ("SEC-078", "critical", r"(?i)\b(?:aes|encryption|crypto|cipher)_?key\s*=\s*b?[\"'][^\"']{8,}[\"']", "Hardcoded Cryptographic Key", "CWE-321"),
+    ("SEC-079", "critical", r"(?i)ldap\w*\.search\w*\s*\(.*(?:%|\+|format)", "LDAP Injection", "CWE-90"),
+    ("SEC-080", "high", r"\.xpath\s*\([^)]*(?:\+|%|format)", "XPath Injection", "CWE-643"),
+    ("SEC-081", "critical", r"\brender_template_string\s*\(|\bTemplate\s*\([^)]*(?:request|\+)", "Template Injection", "CWE-1336"),
+    ("SEC-082", "critical", r"\b(?:commands\.getoutput|os\.exec[lv]\w*|os\.spawn\w*|pty\.spawn)\s*\(", "Extended Command Injection", "CWE-78"),
+    ("SEC-083", "high", r"(?i)\bapp\.run\s*\([^)]*debug\s*=\s*true|\bFLASK_DEBUG\s*=\s*1", "Debug in Production", "CWE-489"),
+    ("SEC-084", "medium", r"(?i)\bCORS\s*\([^)]*\*|allow_origins\s*=\s*\[\s*[\"']\*", "Dangerous CORS", "CWE-942"),
+    ("SEC-085", "medium", r"(?i)\bmin_?length\s*[=:]\s*[1-7]\b", "Weak Password Policy", "CWE-521"),
+    ("SEC-087", "critical", r"\b(?:pickle|dill|joblib|jsonpickle)\.(?:load|loads|decode|Unpickler)\s*\(", "Insecure Deserialization", "CWE-502"),
+    ("SEC-088", "high", r"[\"']http://[^\"'\s]*(?:login|auth|token|password|api)", "HTTP for Sensitive Data", "CWE-319"),
+    ("SEC-089", "medium", r"(?i)\b(?:log\w*|print)\b.*\b(?:password|api_key|credit_card|ssn)\b", "Sensitive Information in Logs", "CWE-532"),
+    ("SEC-090", "critical", r"\b(?:urlopen|requests\.\w+|httpx\.\w+)\s*\(\s*(?:url|user_url|target|request\.)", "Server-Side Request Forgery", "CWE-918"),
+    ("SEC-091", "critical", r"resolve_entities\s*=\s*True|\bXMLParser\s*\(\s*\)|<!ENTITY", "XML External Entity", "CWE-611"),
+    ("SEC-092", "critical", r"\b(?:send_file|sendFile|open|readFile)\s*\([^)]*(?:request\.|req\.|params\[)", "Extended Path Traversal", "CWE-22"),
+    ("SEC-093", "medium", r"\*\*request\.|\.create\s*\(\s*req\.body\s*\)|fields\s*=\s*[\"']__all__", "Mass Assignment", "CWE-915"),
+    ("SEC-094", "medium", r"(?i)\bsession_id\s*=\s*request\.", "Session Fixation", "CWE-384"),
+    ("SEC-096", "high", r"\.extractall\s*\(", "Zip Slip", "CWE-22"),
+    ("SEC-097", "high", r"\([^()]*[+*]\)[+*]", "Regex Denial of Service", "CWE-1333"),
+    ("SEC-098", "high", r"\brandom\.(?:getrandbits|choices|shuffle|uniform)\s*\(", "Insecure Random", "CWE-338"),
+    ("SEC-099", "critical", r"\b(?:eval|exec)\s*\([^)]*(?:request|input\s*\(|argv)", "Eval with User Input", "CWE-95"),
+    ("SEC-100", "medium", r"\bos\.path\.(?:exists|isfile)\s*\([^)]*\)\s*(?::|and)", "Time of Check, Time of Use", "CWE-367"),
+    ("SEC-102", "high", r"\buuid\.uuid1\s*\(|\bstr\s*\(\s*time\.time\s*\(", "Predictable Tokens", "CWE-341"),
+    ("SEC-103", "critical", r"(?i)ssl_?verify\w*\s*[=:]\s*(?:false|0)|NODE_TLS_REJECT_UNAUTHORIZED", "Improper Certificate Validation", "CWE-295"),
+    ("SEC-104", "high", r"\.save\s*\([^)]*\.filename", "Unrestricted Upload", "CWE-434"),
+    ("SEC-106", "critical", r"\b(?:location\.(?:hash|search)|document\.URL)\b.*(?:innerHTML|write)", "DOM-based XSS", "CWE-79"),
+    ("SEC-109", "medium", r"\bchmod\s*\([^)]*0?o?777|\bos\.umask\s*\(\s*0\s*\)", "Insecure Permissions", "CWE-276"),
+    ("SEC-110", "critical", r"(?i)\bjwt\.decode\s*\([^)]*(?:verify_signature[\"']?\s*:\s*False|algorithms\s*=\s*None)", "Insecure JWT Verification", "CWE-347"),
+    ("SEC-113", "critical", r"[\"']\$(?:where|ne|gt|regex)[\"']", "NoSQL Injection", "CWE-943"),
+    ("SEC-114", "critical", r"(?i)algorithms\s*[=:]\s*\[[^\]]*HS256[^\]]*RS256|algorithms\s*[=:]\s*\[[^\]]*RS256[^\]]*HS256", "JWT Algorithm Confusion", "CWE-347"),
+    ("SEC-116", "critical", r"\b(?:__import__|importlib\.import_module)\s*\(\s*(?:request|input|name|module)", "Dynamic Import", "CWE-94"),
+    ("SEC-117", "high", r"[\"'](?:file|gopher|dict|ldap)://", "Dangerous URL Protocols", "CWE-918"),
+    ("SEC-118", "high", r"(?i)\b(?:sqlmap|metasploit|msfvenom|mimikatz)\b", "Attack Tool", "CWE-506"),
+    ("SEC-119", "high", r"\b/dev/tcp/|\bnc\s+-e\b|bash\s+-i\b", "Reverse Shell", "CWE-506"),
+    ("QUAL-001", "low", r"(?i)\b(?:TODO|FIXME|HACK|XXX)\b", "Open Mark", ""),
+    ("QUAL-002", "low", r"^\s*except\s*:\s*$", "Bare Except", ""),
+    ("QUAL-003", "low", r"^.{200,}$", "Long Line", ""),
+    ("QUAL-004", "low", r"^\s*except\b.*:\s*pass\s*$", "Swallowed Exception", ""),
+    ("DEPCONF-001", "high", r"--extra-index-url\b|\bregistry\s*=\s*http://", "Dependency Confusion", "CWE-427"),
+]
+
 _ABSENT = [
     ("enterprise", "LOCK-004", "medium", r"--hash=", r"(?m)^[A-Za-z0-9_.-]+==[0-9]", ("requirements",)),
     ("security", "SEC-034", "medium", r"Content-Security-Policy", r"<html", ANY),
@@ -139,6 +185,7 @@ _ABSENT = [
 RULES: list[Rule] = (
     [Rule("security", i, s, p, n, languages=langs, cwe=c) for i, s, p, n, c, langs in _SECURITY]
     + [Rule(lang, i, s, p, n, languages=(lang,), cwe=c) for lang, i, s, p, n, c in _LANGUAGES]
+    + [Rule("extended", i, s, p, n, cwe=c) for i, s, p, n, c in _EXTENDED]
     + [Rule("enterprise", i, s, p, n, cwe=c) for i, s, p, n, c in _ENTERPRISE]
     + [Rule("infrastructure", i, s, p) for i, s, p in _INFRASTRUCTURE]
     + [Rule("ai", i, s, p, n, confidence=c) for i, s, p, n, c in _AI]
@@ -147,8 +194,8 @@ ABSENCE: list[Rule] = [Rule(pack, i, s, p, mode="absent", guard=g, languages=lan
 
 #: Which packs an entry point evaluates.
 PROFILES = {
-    "cli": {"security", "javascript", "typescript", "go", "java", "rust", "php", "ruby", "csharp", "enterprise"},
-    "lib": {"security"}, "lsp": {"security"}, "all": {r.pack for r in RULES},
+    "cli": {"security", "extended", "javascript", "typescript", "go", "java", "rust", "php", "ruby", "csharp", "enterprise"},
+    "lib": {"security", "extended"}, "lsp": {"security", "extended"}, "all": {r.pack for r in RULES},
 }
 
 
