@@ -60,8 +60,11 @@ _RUST = re.compile(r"(?P<comment>//[^\n]*|/\*[\s\S]*?(?:\*/|\Z))|(?P<string>" +
 _JOIN = re.compile(r"\s*(?:[+.\\]\s*|\|\|\s*|)\Z")
 #: What stands before a literal that something is assigned or passed: a name, perhaps a type, an operator, perhaps a wrapper.
 _TARGET = re.compile(
-    r"""(?:(?P<name>[A-Za-z_$][\w$.-]*)|["'`](?P<quoted>[^"'`\n]{1,60})["'`])\s*\]?\s*(?::\s*(?![\"'`])[&\w<>\[\].' ]{1,40}?)?\s*(?::=|=>|=|:)\s*(?:[\(\[]\s*)?(?:[rbfuRBFU]{1,2}|(?:String::from|String|Some|str|new\s+\w+|bytes|Buffer\.from|SecretStr)\s*\(\s*)?\Z"""
+    r"""(?:(?P<name>[A-Za-z_$][\w$.-]*)|["'`](?P<quoted>[^"'`\n]{1,60})["'`])\s*\]?\s*(?::\s*(?![\"'`])[&\w<>\[\].' ]{1,40}?)?\s*(?::=|=>|=|:)\s*(?:[\(\[]\s*)?(?:[rbfuRBFU]{1,2}|(?:String::from|String|Some|str|new\s+\w+|bytes|Buffer\.from|SecretStr|concat!)\s*\(\s*|(?:""|'')\.join\(\s*[\[(]\s*|String\.join\(\s*"",\s*)?\Z"""
 )
+#: What opens a list of pieces that make one value although commas part them.
+_PIECES = re.compile(r"""(?:concat!\s*\(|(?:""|'')\.join\(\s*[\[(]|String\.join\(\s*"",)\s*\Z""")
+_COMMA = re.compile(r"\s*,\s*\Z")
 _CALL = re.compile(r"(?P<call>[A-Za-z_$][\w$]*)\s*\(\s*\Z")
 _LINE = re.compile(r"""^(?P<lead>\s*(?:-\s+)?(?:export\s+|set\s+|declare\s+)?)["']?(?P<key>[A-Za-z_][\w.-]*)["']?\s*[:=][ \t]*(?P<value>[^\r\n]*?)[ \t]*\r?$""", re.M)
 _SAID = re.compile(r"(?i)\b(?:tokens?|keys?|pass(?:word|phrase|code)?|pwd|secrets?|credentials?|login|auth)\b[^:=/\n]{0,40}[:=/]\s+(?P<said>\S[^\n]*?)\s*(?:\*/|-->)?\s*$")
@@ -190,7 +193,7 @@ def find(text: str, ext: str = "") -> list[tuple[int, int, str]]:
                 if secret_like(text[lo:hi]) and not (ext == "" and re.search(r"[()\[\];{}]", text[lo:hi])):
                     found.append((lo, hi, "named"))
     pieces: list[tuple[int, int]] = []  # adjacent literals that make one value
-    last_end = -1
+    last_end, listed = -1, False
 
     def settle():
         if pieces:
@@ -219,7 +222,11 @@ def find(text: str, ext: str = "") -> list[tuple[int, int, str]]:
             lo, hi = m.start() + lo, m.start() + hi
             if not config:
                 found += _forms(text, lo, hi)
-            if pieces and (last_end == m.start() or not _JOIN.fullmatch(text[last_end : m.start()])):
+            gap = text[last_end : m.start()]
+            if not pieces:
+                listed = bool(_PIECES.search(text, max(0, m.start() - 40), m.start()))
+            if pieces and (gap == "" or not (_JOIN.fullmatch(gap) or listed and _COMMA.fullmatch(gap))):
+                listed = bool(_PIECES.search(text, max(0, m.start() - 40), m.start()))
                 settle()
                 pieces = []
             pieces.append((lo, hi))
