@@ -116,4 +116,12 @@ QUERIES = {
     "p7_found": p7_found, "p7_repairs": p7_repairs, "p7_rates": p7_rates, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_selection": p9_selection, "p9_shares": p9_shares,
     "p10_found": p10_found, "p10_passages": p10_passages, "p10_shared_part": p10_shared_part,
 }
-ORACLE_SQL: dict[str, str] = {}
+_GRAMS = (
+    "SELECT DISTINCT {key}, array_to_string(ws[i:i+14], ' ') AS k FROM (SELECT {key}, ws, unnest(range(1, len(ws) - 13)) AS i FROM "
+    "(SELECT {key}, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)) AS ws FROM {table}))"
+)
+ORACLE_SQL: dict[str, str] = {
+    "p8_found": f"SELECT DISTINCT doc_id, item_id FROM ({_GRAMS.format(key='doc_id', table='documents')}) JOIN ({_GRAMS.format(key='item_id', table='eval_items')}) USING (k)",
+    "p10_found": """WITH g AS (SELECT DISTINCT doc_id, md5(substr(text, i, 400)) AS k FROM (SELECT doc_id, text, unnest(range(1, length(text) - 398)) AS i FROM documents))
+        SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM g a JOIN g b ON a.k = b.k AND a.doc_id < b.doc_id""",
+}
