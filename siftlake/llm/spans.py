@@ -144,7 +144,13 @@ def shared_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), row["id"]), pa.int64()), pa.array(keys, pa.int64())], ["id", "k"])
 
     keys = checkpoint(likely.mapInArrow(narrow, "id long, k long"))
-    keys = keys.join(keys.groupBy("k").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("k"), "k")
+    # A passage that many texts share has a key at each of its windows, all with the same texts: one key
+    # for each set of texts is enough, else its pairs would come once a window. Sets are told apart by
+    # size, least and greatest id and 128 bits of hash.
+    sets = keys.groupBy("k").agg(
+        F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")
+    ).where("n > 1")
+    keys = keys.join(sets.groupBy("n", "lo", "hi", "x", "y").agg(F.min("k").alias("k")).select("k"), "k")
     left, right = keys.select("k", F.col("id").alias("a")), keys.select("k", F.col("id").alias("b"))
     candidates = left.join(right, "k").where("a < b").select("a", "b").distinct()
     texts = likely.select("id", "text")
