@@ -45,7 +45,7 @@ def duplicate_groups(records: DataFrame) -> DataFrame:
     case aside) or the same rule, file and line, directly or through further records. A null
     fingerprint, rule, file or line links nothing; a null repo counts as one repo of its own. A
     record that nothing links is its own group; repeated rows fall into one group. Rows without
-    raw_id are dropped. Other columns pass through.
+    raw_id are dropped. A column group_id of the input is replaced; other columns pass through.
 
     Each key is reduced to its smallest raw_id by a pre-aggregated groupBy; a hot key costs one
     row on the small side of the join back, never a collected group.
@@ -68,7 +68,7 @@ def duplicate_groups(records: DataFrame) -> DataFrame:
     edges = keyed.join(least, "key").select(F.col("raw_id").alias("a"), F.col("first").alias("b"))
     parts = connected_components(edges)
     return (
-        records.where("raw_id is not null")
+        records.drop("group_id").where("raw_id is not null")
         .join(parts.withColumnRenamed("node", "raw_id").withColumnRenamed("component", "group_id"), "raw_id", "left")
         .withColumn("group_id", F.coalesce("group_id", "raw_id"))
     )

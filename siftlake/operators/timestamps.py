@@ -97,7 +97,8 @@ def with_utc_micros(df: DataFrame, value: str, zone: str, day_first: str, out: s
     `zone`. A wall-clock time that occurs twice is its first occurrence, one that never occurs
     is null, as are dates without time, impossible dates and times (24:00 and second 60
     included), unknown zones, null and any other text. Without any zone, null.
-    Missing seconds are 0, digits beyond microseconds are cut off.
+    Missing seconds are 0, digits beyond microseconds are cut off. A column of the name `out`
+    is replaced; other columns pass through.
     """
     text = F.trim(F.regexp_replace(F.lower(F.col(value)), r"[\s\u00a0\u202f]+", " "))
     laid = F.regexp_replace(text, PATTERN, _LAYOUT)
@@ -160,8 +161,8 @@ def with_utc_micros(df: DataFrame, value: str, zone: str, day_first: str, out: s
         .when(F.col("__ts_has"), F.col("__ts_wall") - F.col("__ts_offset") * 60_000_000)
         .when(F.col("__ts_zone").isNotNull() & exists, F.unix_micros(utc))
     )
-    df = _computed(df, **{out: instant.cast("long")})
-    return df.drop(*[c for c in df.columns if c.startswith("__ts_")])
+    df = _computed(df, __out=instant.cast("long"))
+    return df.drop(out, *[c for c in df.columns if c.startswith("__ts_")]).withColumnRenamed("__out", out)
 
 
 def _computed(df: DataFrame, **columns: Column) -> DataFrame:

@@ -56,6 +56,15 @@ def test_groups_and_survivors(spark):
     assert set(out) == {1, 5, 6}
 
 
+def test_a_third_of_all_rows_in_one_group(spark):
+    rows = spark.range(3000).selectExpr(
+        "id as raw_id", "'o/r' as repo", "'a' as scanner", "'SEC-001' as rule_id", "'x.py' as file_path", "id + 10 as line", "'low' as severity",
+        "if(id % 3 = 0, 'hot', cast(id as string)) as fingerprint", "timestamp_ntz '2025-01-01 00:00:00' as recorded_at", "7L as group_id",
+    )
+    out = {r.group_id: r.n_records for r in best_representative(duplicate_groups(rows)).collect()}
+    assert out[0] == 1000 and len(out) == 2001
+
+
 def test_empty(spark):
     assert best_representative(duplicate_groups(spark.createDataFrame([], SCHEMA))).count() == 0
 

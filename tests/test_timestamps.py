@@ -69,5 +69,8 @@ def test_wall_clocks_agree_with_zoneinfo(spark, times):
 
 def test_empty_and_extra_columns(spark):
     df = spark.createDataFrame([], "v string, tz string, df boolean, utc string")
+    one = spark.createDataFrame([("2020-03-04T05:06:07Z", None, None, "old")], "v string, tz string, df boolean, utc_us string")
+    assert with_utc_micros(one, "v", "tz", "df").first().utc_us == us(2020, 3, 4, 5, 6, 7)
+    assert with_utc_micros(one, "v", "tz", "df", out="v").first().v == us(2020, 3, 4, 5, 6, 7)
     out = with_utc_micros(df, "v", "tz", "df", out="x")
     assert out.columns == ["v", "tz", "df", "utc", "x"] and out.count() == 0
