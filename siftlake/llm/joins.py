@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftlake.session import checkpoint
 
-#: Rows of at most some dozen bytes each: 2 million are under 100 MB in a broadcast.
+#: Rows of at most some dozen bytes each: 2 million are under 100 MB in a broadcast. Wider rows get a lower bound where they are used.
 MAX_ROWS = 2_000_000
 
 

@@ -95,7 +95,7 @@ def leaks(
     texts = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("item_text")).dropDuplicates(["item_id"])
     per_doc = lines.join(texts, "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "item_text", "shift", "at")).alias("hits"))
     docs = corpus.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).alias("doc_text"))
-    joined = docs.join(small_side(per_doc, max_rows=200_000), "doc_id")
+    joined = docs.join(small_side(per_doc, max_rows=20_000), "doc_id")
 
     def run(batches):
         for batch in batches:

@@ -122,7 +122,7 @@ def shared_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
     )
     marked = _anchor_table(once, v, cover, width, positions=True).join(small_side(several), "h")
     places = marked.groupBy("id").agg(F.collect_set("pos").alias("at"))  # of one text: bounded by its length
-    likely = checkpoint(plain.join(small_side(places, 500_000), "id").dropDuplicates(["id"]))
+    likely = checkpoint(plain.join(small_side(places, 100_000), "id").dropDuplicates(["id"]))
 
     # A span with an anchor has l characters before and at least min_chars - width - l after it. For one
     # of a few cuts of l, the window between neighbouring cuts is shared whole: min_chars less one step.
