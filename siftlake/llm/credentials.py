@@ -25,18 +25,22 @@ _ISSUED = (
     r"|(?<![\w-])eyJ[\w-]{8,}={0,2}\.[\w-]{8,}={0,2}\.[\w-]{8,}"
     r"|(?<!\w)npm_[A-Za-z0-9]{30,}|pypi-[\w-]{30,}|SG\.[\w-]{16,}\.[\w-]{16,}|(?<!\w)hf_[A-Za-z0-9]{20,}|dop_v1_[0-9a-f]{40,}|whsec_[\w+/]{16,}"
 )
+#: What each of these begins with, a class or letter a step.
+_PREFIXES = (
+    r"gh[pousr]_", "github_pat_", "glpat-", "AKIA", "ASIA", r"[sr]k_live_", r"[sr]k_test_", r"sk-", r"xox[abeprs]-", "AIza", r"ya29\.",
+    "eyJ", "npm_", "pypi-", r"SG\.", "hf_", "dop_v1_", "whsec_",
+)
+_SET = "password|passwd|pwd|pass|accountkey|sharedaccesskey|sharedsecret|secretkey"
+_ASKED = "access_token|auth_token|token|api_?key|key|sig|signature|secret|password"
 _KEY_BLOCK = r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"
 _ADDRESS = r"[A-Za-z][A-Za-z0-9+.-]*://(?P<user>[^\s:/@\"'`<>]*):(?P<login>[^\s/\"'`@]+(?:@[^\s/\"'`@.]+)*)@[A-Za-z0-9\[{$%<]"
-_SETTING = r"(?i:(?<![A-Za-z])(?:password|passwd|pwd|pass|accountkey|sharedaccesskey|sharedsecret|secretkey))\s*=\s*(?P<setting>[^;\"'`\n]+)"
+_SETTING = rf"(?i:(?<![A-Za-z])(?:{_SET}))\s*=\s*(?P<setting>[^;\"'`\n]+)"
 _HEADER = r"(?i:authorization[\"']?\s*[:=]\s*[\"'`]?\s*)?(?P<scheme>(?i:bearer|basic)|(?<=: )token|(?<=[\"'`])token)\s+(?P<header>[A-Za-z0-9+/_.~=-]{8,})"
-_QUERY = r"[?&](?i:access_token|auth_token|token|api_?key|key|sig|signature|secret|password)=(?P<query>[^&\s\"'`#]{8,})"
+_QUERY = rf"[?&](?i:{_ASKED})=(?P<query>[^&\s\"'`#]{{8,}})"
 _KEY_END = re.compile(r"-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
 _FORMS = re.compile(f"(?P<issued>{_ISSUED})|(?P<block>{_KEY_BLOCK})|{_ADDRESS}|{_HEADER}|{_QUERY}")
 _SETTINGS = re.compile(_SETTING)
 
-#: A text without any of these holds no credential: the test that runs in the JVM.
-TRIGGER = r"(?i)passw|passp|passc|pass\b|_pass|pass_|\bpass|pwd|secret|token|key|cred|auth|bearer|basic |login|_pw\b|\bpw\b|://[^/\s]*:[^/\s]*@|gh[pousr]_|glpat-|akia|asia|[sr]k_(?:live|test)|\bsk-|xox[abeprs]-|aiza|ya29|eyj|npm_|pypi-|SG\.|hf_|dop_v1|whsec|private key"
-
 _PLACEHOLDER = re.compile(
     r"(?i)^$|[<>]|\$\{|\$\(|\{\{|%\(|\{[a-z_]\w*\}|^\$\w+$|^%\w+%$|^%[sdv]$|\*{3,}|x{4,}|•{2,}|\.{3,}|…|#{4,}|_{4,}"
     r"|change[-_ ]?(?:me|it|this)|replace[-_ ]?(?:me|this|with)|placeholder|redacted|set[-_ ]?me|fill[-_ ]?(?:me|in)|insert[-_ ]|your[-_ ]?\w*|example$|^example|dummy|^todo|^tbd|^none$|^null$|^nil$|^undefined$|^true$|^false$|not[-_ ]?a[-_ ]?real|sample[-_ ]?(?:key|token|password|secret)|^(.)\1*$"
@@ -51,6 +55,28 @@ _SPEAKING = {"name", "label", "field", "url", "uri", "path", "id", "ids", "file"
 _JOINED = re.compile(r"passw(?:or)?d|passphrase|secret|token|credential|(?:api|access|enc|secret|signing|private|auth|encryption|master|client|service|shared|hmac|tls|ssh|deploy|webhook)key$")
 _SPLIT = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
+
+def _trigger() -> str:
+    """A pattern for Java and Python that every text passes in which find() reports anything; built from what find() goes by."""
+    word = lambda w: rf"(?<![A-Za-z])(?i:{w})(?![a-z])|{w.capitalize()}(?![a-z])|(?<![A-Z]){w.upper()}(?![a-z])"
+    short = {w for w in _WORDS if len(w) <= 4 and w not in ("auth", "cred")}  # within longer words all the time
+    long = (_WORDS | {"key"}) - short
+    plain = sorted(w for w in long if not any(v != w and v in w for v in long))
+    # The last two words of a name count joined too, whatever parts them.
+    parted = ["(?-i:[^A-Za-z0-9.\"'`\n])*".join(w) for w in ("passwd", "password", "passphrase", "secret", "token", "credential")]
+    # A token may be cut anywhere into literals that are joined.
+    cut = "(?:[\"'`]*+[^A-Za-z_\"'`]*+(?:r#*)?[\"'`]+)*"
+    issued = [("(?<![A-Za-z0-9_-])" if p == "sk-" else "") + cut.join(re.findall(r"\[[^\]]+\]|\\?.", p)) for p in _PREFIXES]
+    return "|".join([
+        "(?iu)" + "|".join(plain), "login|bearer|basic[^A-Za-z0-9]", rf"(?<![A-Za-z])(?:{_SET})(?![A-Za-z])", f"[?&](?:{_ASKED})=", r"://[^/\s]*:[^/\s]*@",
+        *parted, *(f"(?-i:{x})" for x in [*map(word, sorted(short)), *issued]),
+    ])
+
+
+#: A text without any of these holds no credential: the test that runs in the JVM.
+TRIGGER = _trigger()
+
+
 _CODE = {"py", "js", "jsx", "mjs", "cjs", "ts", "tsx", "go", "java", "rs", "rb", "php", "cs", "kt", "scala", "c", "cc", "cpp", "h", "swift", "json"}
 _HASH_COMMENTS = {"py", "rb", "sh", "yml", "yaml", "env", "ini", "cfg", "conf", "toml", "tfvars", "tf", "properties", "local"}
 _STRING = r'"""(?:[^\\]|\\[\s\S])*?"""|' + r"'''(?:[^\\]|\\[\s\S])*?'''|" + r'"(?:[^"\\\n]|\\.|\\\n)*(?:"|(?=\n)|\Z)|' + r"'(?:[^'\\\n]|\\.|\\\n)*(?:'|(?=\n)|\Z)|" + r"`(?:[^`\\]|\\[\s\S])*(?:`|\Z)"

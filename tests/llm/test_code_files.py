@@ -1,5 +1,6 @@
 import ast
 import json
+import re
 
 import pytest
 
@@ -141,3 +142,25 @@ def test_chaos_strings_end():
             syntax.repair(text, language)
         credentials.find(text, "py")
         handwritten.kind_of("a.py", text)
+
+
+TOKEN = "a1B2c3D4e5F6g7H8i9J0k1L2m3N4o5P6q7R8s9T0u1V2"
+FORMS = [
+    f'x = "github_pat_{TOKEN}"', 'u = "https://h.example/a?b=1&sig=a1b2c3d4e5f6"', 'u = "https://h.example/a?signature=a1b2c3d4e5f6"',
+    'dbPw = "Tr0ub4dor&3x"', 'smtpPass1 = "Tr0ub4dor&3x"', 'DB_PASS = "Tr0ub4dor&3x"', 'se_cret = "Tr0ub4dor&3x"', 'to_ken = "Tr0ub4dor&3x"', 'x = "Basic\tdXNlcjpzM2NyM3Q="',
+    'x = "AK" + "IA" + "ABCDEFGH12345678"', 'x = "hf" \\\n    "_' + TOKEN + '"', '1 | x = "gh" +\n2 |     "p_a1b2c3d4e5f6"', 'x = "host=h;Pass = Tr0ub4dor3"',
+]
+ISSUED = ["ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "sk_live_", "rk_test_", "sk-", "xoxb-", "AIza", "ya29.", "npm_", "pypi-", "hf_", "whsec_"]
+FORMS += [f'x = "{p}{TOKEN}"' for p in ISSUED] + [f'x = "{p}ABCDEFGH12345678"' for p in ("AKIA", "ASIA")] + [f'x = "dop_v1_{"0123456789" * 5}"', f'x = "eyJ{TOKEN}.{TOKEN}.{TOKEN}"', f'x = "SG.{TOKEN}.{TOKEN}"']
+FORMS += [f'u = "https://h.example/?{q}=a1b2c3d4e5f6"' for q in "access_token auth_token token api_key apikey key sig signature secret password".split()]
+FORMS += [f'x = "a=b;{q}=a1b2c3d4e5f6"' for q in credentials._SET.split("|")]
+FORMS += [f'{n} = "Tr0ub4dor&3x"' for w in sorted(credentials._WORDS) for n in (w, w.upper(), f"db{w.capitalize()}1", f"x_{w}_2")]
+
+
+def test_trigger_passes_every_form(spark):
+    found = [credentials.find(credentials.undecorated(x), "py") for x in FORMS]
+    assert [x for x, f in zip(FORMS, found) if not f] == []
+    assert [x for x in FORMS if not re.search(credentials.TRIGGER, x)] == []
+    df = spark.createDataFrame([(i, "a.py", x) for i, x in enumerate(FORMS)], "id long, path string, snippet string")
+    assert {r.row_id for r in credentials.scan(df, "id", "snippet", df.path, "t", snippet=True).collect()} == set(range(len(FORMS)))
+    assert not re.search(credentials.TRIGGER, "def total(rows):\n    return sum(r.price for r in rows)  # by hand, 12 a day\n")
