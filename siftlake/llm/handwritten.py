@@ -54,15 +54,15 @@ def _automaton():
 
 def notices(code: str, repo: str = "") -> str | None:
     """The kind of notice in the comments that open or close the file, if any."""
-    head = _OPENING.match(code[:20_000]).group()
+    head = _OPENING.match(code).group()
     tail = []
-    for line in reversed(code[-4_000:].rstrip().split("\n")):
+    for line in reversed(code.rstrip().split("\n")):
         if not re.match(r"\s*(?:#|//|/?\*|--)", line):
             break
         tail.append(line)
     machine, found = _automaton(), Counter()
     own_name = repo.rsplit("/", 1)[-1].lower().replace("_", "-")
-    for line in [*head.split("\n")[:60], *tail]:
+    for line in [*head.split("\n"), *tail]:
         text = " ".join(line.lower().split())
         hits = {value for _, value in machine.iter(text)}
         kinds = {kind for kind, _ in hits}

@@ -164,3 +164,15 @@ def test_trigger_passes_every_form(spark):
     df = spark.createDataFrame([(i, "a.py", x) for i, x in enumerate(FORMS)], "id long, path string, snippet string")
     assert {r.row_id for r in credentials.scan(df, "id", "snippet", df.path, "t", snippet=True).collect()} == set(range(len(FORMS)))
     assert not re.search(credentials.TRIGGER, "def total(rows):\n    return sum(r.price for r in rows)  # by hand, 12 a day\n")
+
+
+def test_long_opening_and_closing_comments():
+    body = "\nint f(int a) { return a + 1; }\n"
+    notice = "Code generated by protogen. DO NOT EDIT."
+    lines = "".join(f"// Licence text, clause {i} of many.\n" for i in range(100))
+    block = "/*\n" + "".join(f" * Licence text, clause {i} of many, in a long block.\n" for i in range(600))
+    assert len(block) > 20_000
+    assert handwritten.notices(lines + "// " + notice + body) == "generated"
+    assert handwritten.notices(block + " * " + notice + "\n */" + body) == "generated"
+    assert handwritten.notices(body + "// " + notice + "\n" + lines * 2) == "generated"
+    assert handwritten.notices(lines + body) is None and handwritten.notices(block + " */" + body) is None
