@@ -81,11 +81,14 @@ def snake_case(name: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(step, "([a-z0-9])([A-Z])", "$1_$2"), r"[-\s]+", "_"))
 
 
+NAME = r"(?<![A-Za-z0-9_])([A-Za-z_][A-Za-z0-9_]{1,62})(?![A-Za-z0-9_])"
+KEYWORDS = ["if", "else", "for", "while", "return", "def", "class", "import", "from", "in", "is", "not", "and", "or", "None", "True", "False"]
+
+
 def identifiers(text: Column) -> Column:
     """Distinct names in a text: letters, digits and underscores, 2 to 63 long, begun by a letter or underscore, no keywords."""
-    keywords = ["if", "else", "for", "while", "return", "def", "class", "import", "from", "in", "is", "not", "and", "or", "None", "True", "False"]
-    words = F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z0-9_])([A-Za-z_][A-Za-z0-9_]{1,62})(?![A-Za-z0-9_])"), F.lit(1))
-    return F.array_distinct(F.filter(words, lambda w: ~w.isin(keywords)))
+    words = F.regexp_extract_all(text, F.lit(NAME), F.lit(1))
+    return F.array_distinct(F.filter(words, lambda w: ~w.isin(KEYWORDS)))
 
 
 def category(rule: Column) -> Column:

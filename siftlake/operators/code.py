@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import hashlib
+import re
 import warnings
 
 import pyarrow as pa
@@ -13,14 +14,22 @@ from pyspark.sql import functions as F
 from siftlake.functions import text as tx
 from siftlake.session import checkpoint
 
-_FACT = pa.struct([("kind", pa.string()), ("name", pa.string()), ("line", pa.int32()), ("end_line", pa.int32()), ("detail", pa.string()), ("args", pa.list_(pa.string()))])
-FACT_SCHEMA = "file_id long, kind string, name string, line int, end_line int, detail string, args array<string>"
+_FACT = pa.struct([("kind", pa.string()), ("name", pa.string()), ("line", pa.int32()), ("end_line", pa.int32()), ("detail", pa.string()), ("args", pa.list_(pa.string())), ("uses", pa.list_(pa.string())), ("clean", pa.bool_()), ("passed", pa.list_(pa.struct([("param", pa.string()), ("uses", pa.list_(pa.string()))]))), ("digest", pa.string())])
+FACT_SCHEMA = "file_id long, kind string, name string, line int, end_line int, detail string, args array<string>, uses array<string>, clean boolean, passed array<struct<param:string,uses:array<string>>>, digest string"
+
+SOURCES = ["input", "request", "sys.argv", "os.environ", "recv", "read_line"]
+SINKS = ["execute", "system", "popen", "eval", "exec", "open", "loads", "render"]
+SANITIZERS = ["escape", "quote", "sanitize", "validate", "int"]
+_CLEAN = re.compile(r"\b(?:" + "|".join(SANITIZERS) + r")\w*\s*\(", re.A)
+_NAME = re.compile(tx.NAME)
 
 
 def python_facts(files: DataFrame, file_id: str, code: str) -> DataFrame:
     """One row per syntax fact of each Python text: function, class, import, assignment, call, string, except, name, duplicate body.
 
-    Texts that do not parse, nulls and empty texts have no facts. One Arrow pass; rows are independent.
+    `detail` and `args` are shortened to show; `uses` (the identifiers), `clean` (whether a sanitizer is called), `passed` (the
+    identifiers of each argument, under its keyword or position; of a function, its keyword-only parameters in `uses`) and
+    `digest` (of a whole call) come from whole expressions. Texts that do not parse, nulls and empty texts have no facts. One Arrow pass; rows are independent.
     """
 
     def run(batches):
@@ -46,12 +55,20 @@ def facts_of(source: str | None) -> list[dict]:
         return []
     out: list[dict] = []
 
-    def add(kind, name, node, detail="", args=()):
-        out.append({"kind": kind, "name": name, "line": node.lineno, "end_line": getattr(node, "end_lineno", node.lineno), "detail": detail, "args": list(args)})
+    def add(kind, name, node, detail="", args=(), **more):
+        out.append({"kind": kind, "name": name, "line": node.lineno, "end_line": getattr(node, "end_lineno", node.lineno), "detail": detail, "args": list(args), **more})
+
+    def names(text):
+        return [w for w in dict.fromkeys(_NAME.findall(text)) if w not in tx.KEYWORDS]
+
+    def assigned(kind, targets, node):
+        value = ast.unparse(node.value)
+        for t in targets:
+            add(kind, ast.unparse(t), node, value[:200], uses=names(value), clean=bool(_CLEAN.search(value)))
 
     for node in ast.walk(tree):
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
-            add("function", node.name, node, "async" if isinstance(node, ast.AsyncFunctionDef) else "", [a.arg for a in node.args.args])
+            add("function", node.name, node, "async" if isinstance(node, ast.AsyncFunctionDef) else "", [a.arg for a in [*node.args.posonlyargs, *node.args.args]], uses=[a.arg for a in node.args.kwonlyargs])
             body = "".join(ast.dump(s) for s in node.body)
             if len(body) >= 50:
                 add("body", node.name, node, hashlib.md5(body.encode()).hexdigest())
@@ -64,10 +81,16 @@ def facts_of(source: str | None) -> list[dict]:
             for a in node.names:
                 add("import", a.asname or a.name, node, f"{node.module or ''}.{a.name}")
         elif isinstance(node, ast.Assign):
-            for t in node.targets:
-                add("assignment", ast.unparse(t), node, ast.unparse(node.value)[:200])
+            assigned("assignment", node.targets, node)
+        elif isinstance(node, ast.NamedExpr) or isinstance(node, ast.AnnAssign) and node.value:
+            assigned("assignment", [node.target], node)
+        elif isinstance(node, ast.AugAssign):
+            assigned("augmented", [node.target], node)
         elif isinstance(node, ast.Call):
-            add("call", ast.unparse(node.func)[:200], node, "", [ast.unparse(a)[:200] for a in node.args])
+            callee, args = ast.unparse(node.func), [(str(k), "", ast.unparse(a)) for k, a in enumerate(node.args)]
+            args += [(k.arg or "**", f"{k.arg}=" if k.arg else "**", ast.unparse(k.value)) for k in node.keywords]
+            shown = [sign + a for _, sign, a in args]
+            add("call", callee, node, "", [a[:200] for a in shown], passed=[{"param": p, "uses": names(a)} for p, _, a in args], digest=hashlib.md5("\0".join([callee, *shown]).encode("utf-8", "surrogatepass")).hexdigest())
         elif isinstance(node, ast.Constant) and isinstance(node.value, str):
             add("string", node.value[:200], node)
         elif isinstance(node, ast.ExceptHandler):
@@ -99,8 +122,10 @@ def duplicate_functions(facts: DataFrame) -> DataFrame:
 
 
 def repeated_calls(facts: DataFrame, least: int = 3) -> DataFrame:
+    """Calls that a file makes again and again, all arguments alike; long arguments are shortened only in what is shown."""
     calls = facts.where("kind = 'call'").withColumn("call", F.concat("name", F.lit("("), F.concat_ws(", ", "args"), F.lit(")")))
-    return calls.groupBy("file_id", "call").agg(F.count("*").alias("n"), F.min("line").alias("line")).where(F.col("n") >= least)
+    counted = calls.groupBy("file_id", "digest").agg(F.min("call").alias("call"), F.count("*").alias("n"), F.min("line").alias("line"))
+    return counted.where(F.col("n") >= least).select("file_id", "call", "n", "line")
 
 
 def mixed_naming(facts: DataFrame) -> DataFrame:
@@ -162,23 +187,20 @@ def anomaly_score(found: DataFrame) -> DataFrame:
     return found.groupBy("file_id").agg(F.least(F.lit(1.0), F.round(F.avg(weight * F.col("confidence")), 6)).alias("score"))
 
 
-SOURCES = ["input", "request", "sys.argv", "os.environ", "recv", "read_line"]
-SINKS = ["execute", "system", "popen", "eval", "exec", "open", "loads", "render"]
-SANITIZERS = ["escape", "quote", "sanitize", "validate", "int"]
-
-
 def taint_graph(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of the data flow per file: names flow into assignments and calls, and arguments into the parameters
     of the function of that name in the file. What a sanitizer's call returns is clean."""
-    clean = F.col("detail").rlike(r"\b(?:" + "|".join(SANITIZERS) + r")\w*\s*\(")
-    assigned = facts.where("kind = 'assignment'").where(~clean).select("file_id", F.concat(F.lit("v:"), "name").alias("dst"), F.explode(tx.identifiers(F.col("detail"))).alias("w"), "line")
-    edges = assigned.select("file_id", F.concat(F.lit("v:"), "w").alias("src"), "dst", "line")
-    passed = facts.where("kind = 'call'").select("file_id", F.concat(F.lit("c:"), "name").alias("dst"), F.explode("args").alias("a"), "line")
-    edges = edges.unionByName(passed.select("file_id", "dst", F.explode(tx.identifiers(F.col("a"))).alias("w"), "line").select("file_id", F.concat(F.lit("v:"), "w").alias("src"), "dst", "line"))
-    given = facts.where("kind = 'call'").select("file_id", F.element_at(F.split("name", r"\."), -1).alias("f"), F.posexplode("args").alias("k", "a"), "line")
-    taken = facts.where("kind = 'function'").select("file_id", F.col("name").alias("f"), F.posexplode("args").alias("k", "p"))
-    inward = given.join(taken, ["file_id", "f", "k"]).select("file_id", F.explode(tx.identifiers(F.col("a"))).alias("w"), "p", "line")
-    edges = edges.unionByName(inward.select("file_id", F.concat(F.lit("v:"), "w").alias("src"), F.concat(F.lit("v:"), "p").alias("dst"), "line")).distinct()
+    flows = facts.where("kind in ('assignment', 'augmented') and not clean").select("file_id", F.explode("uses").alias("w"), F.concat(F.lit("v:"), "name").alias("dst"), "line")
+    passed = facts.where("kind = 'call'").select("file_id", "name", F.inline("passed"), "line")
+    flows = flows.unionByName(passed.select("file_id", F.explode("uses").alias("w"), F.concat(F.lit("c:"), "name").alias("dst"), "line"))
+    given = passed.withColumn("f", F.element_at(F.split("name", r"\."), -1)).drop("name")
+    params = F.concat(
+        F.transform("args", lambda p, k: F.struct(k.cast("string").alias("param"), p.alias("p"))),
+        F.transform(F.concat("args", "uses"), lambda p: F.struct(p.alias("param"), p.alias("p"))),
+    )
+    taken = facts.where("kind = 'function'").select("file_id", F.col("name").alias("f"), F.inline(params))
+    inward = given.join(taken, ["file_id", "f", "param"]).select("file_id", F.explode("uses").alias("w"), F.concat(F.lit("v:"), "p").alias("dst"), "line")
+    edges = checkpoint(flows.unionByName(inward).select("file_id", F.concat(F.lit("v:"), "w").alias("src"), "dst", "line").distinct())
     nodes = edges.select("file_id", F.explode(F.array("src", "dst")).alias("node")).distinct()
     return nodes, edges
 

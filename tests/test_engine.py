@@ -132,6 +132,21 @@ def test_taint_enters_functions(spark):
     assert {r.sink for r in cd.tainted_sinks(facts).collect()} == {"os.system"}
 
 
+def test_facts_of_whole_expressions(spark):
+    long = "'" + "x" * 220 + "'"
+    chain = "q" + ".filter_by_a_long_name(1)" * 10
+    codes = [
+        f"raw = input()\ncmd = {long} + raw\nos.system(cmd)\n", f"raw = input()\nos.popen({long} + raw)\n", f"raw = input()\n{chain}.execute(raw)\n",
+        f"raw = input()\nsafe = {long} + raw + escape(raw)\nos.system(safe)\n", "raw: str = input()\ncmd = 'a'\ncmd += raw\nos.system(cmd)\n",
+        "raw = input()\ndb.execute(query=raw)\n", "def run(a, *, cmd):\n    os.system(cmd)\n\nraw = input()\nrun(1, cmd=raw)\n", "if (raw := input()):\n    eval(raw)\n",
+        "\n".join(f"f({long} + 'a{i}')" for i in range(3)) + "\n" + "\n".join(f"g(1, k={i})" for i in range(3)) + "\n" + "h(1, k=2)\n" * 3,
+    ]
+    facts = cd.python_facts(spark.createDataFrame(list(enumerate(codes)), "id long, code string"), "id", "code").cache()
+    sinks = {(r.file_id, r.sink) for r in cd.tainted_sinks(facts).collect()}
+    assert sinks == {(0, "os.system"), (1, "os.popen"), (2, chain + ".execute"), (4, "os.system"), (5, "db.execute"), (6, "os.system"), (7, "eval")}
+    assert [(r.file_id, r.call, r.n, r.line) for r in cd.repeated_calls(facts).collect()] == [(8, "h(1, k=2)", 3, 7)]
+
+
 def test_cleaners(spark):
     from siftlake.operators import clean as cl
 
