@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftlake.functions import severity as sv
@@ -264,6 +264,43 @@ def remediation_rate(spark, d):
     return rp.remediation_rate(_two_scans(spark, d), "repo")
 
 
+# Each scan of a file against the scan of that file before it, over whole tables; a first scan has nothing before it.
+_BEFORE = "(SELECT scan_id, lead(scan_id) OVER (PARTITION BY file_id ORDER BY scanned_at, scan_id) AS later FROM scan_results)"
+_SIDES = f"(SELECT scan_id, repo, rule_id, file, 0 AS p, 1 AS c FROM findings UNION ALL SELECT later, repo, rule_id, file, 1, 0 FROM findings JOIN {_BEFORE} USING (scan_id) WHERE later IS NOT NULL)"
+_RESCANNED = f"(SELECT scan_id, repo, rule_id, file, CASE WHEN max(p) = 0 THEN 'new' WHEN max(c) = 0 THEN 'remediated' ELSE 'unchanged' END AS status FROM {_SIDES} GROUP BY ALL)"
+
+
+def _earlier(spark, d, found):
+    """The findings of each scan that was followed by another of its file, under the id of the one that followed."""
+    order = Window.partitionBy("file_id").orderBy("scanned_at", "scan_id")
+    later = table(spark, d, "scan_results").select("scan_id", F.lead("scan_id").over(order).alias("later")).where("later is not null")
+    return found.join(later, "scan_id").drop("scan_id").withColumnRenamed("later", "scan_id")
+
+
+def _rescans(spark, d):
+    found = table(spark, d, "findings").select("scan_id", "repo", "rule_id", "file")  # repeated rows fall together in the comparison
+    return rp.scan_diff(_earlier(spark, d, found), found, ["scan_id", "repo", "rule_id", "file"])
+
+
+@query(f"SELECT * FROM {_RESCANNED}")
+def rescan_diff(spark, d):
+    return _rescans(spark, d)
+
+
+@query(
+    f"SELECT repo, count(*) FILTER (status = 'remediated') AS remediated, count(*) FILTER (status <> 'new') AS previous, coalesce(round(count(*) FILTER (status = 'remediated') * 100 / nullif(count(*) FILTER (status <> 'new'), 0), 1), 0.0) AS rate FROM {_RESCANNED} GROUP BY repo"
+)
+def rescan_remediation_rate(spark, d):
+    return rp.remediation_rate(_rescans(spark, d), "repo")
+
+
+@query(f"WITH f AS (SELECT *, {_PRINT} AS fp FROM {F0}), b AS (SELECT later, fp FROM f JOIN {_BEFORE} USING (scan_id)) SELECT finding_id FROM f WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.later = f.scan_id AND b.fp = f.fp)")
+def rescan_baseline_new(spark, d):
+    found = fd.with_fingerprint(_findings(spark, d))
+    baseline = _earlier(spark, d, found).select("scan_id", "fingerprint").distinct()
+    return found.join(baseline, ["scan_id", "fingerprint"], "left_anti").select("finding_id")
+
+
 @query(
     f"""SELECT repo, count(*) FILTER (({_case('threshold')}) >= 4 OR rule_id IN ('SEC-010')) AS violations, count(*) FILTER (rule_id IN ('SEC-010')) AS blocked, count(*) FILTER (({_case('threshold')}) >= 4 OR rule_id IN ('SEC-010')) = 0 AS passed
     FROM {F0} WHERE file IS NULL OR NOT contains(file, 'test') GROUP BY repo"""

@@ -147,6 +147,15 @@ def test_facts_of_whole_expressions(spark):
     assert [(r.file_id, r.call, r.n, r.line) for r in cd.repeated_calls(facts).collect()] == [(8, "h(1, k=2)", 3, 7)]
 
 
+def test_every_finding_enters_the_comparison_of_scans(spark, small):
+    from siftlake.plans import reference_queries as rq
+
+    found = rq._findings(spark, small).select("scan_id", "repo", "rule_id", "file").distinct()
+    diff = rq.rescan_diff(spark, small).cache()
+    assert diff.where("status <> 'remediated'").count() == found.count() == found.intersect(diff.drop("status")).count()
+    assert {r.status for r in diff.select("status").distinct().collect()} >= {"new", "remediated"}
+
+
 def test_cleaners(spark):
     from siftlake.operators import clean as cl
 
