@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlake.llm import credentials, handwritten, leakage, linkage, mixing, spans, syntax
+from siftlake.llm import credentials, handwritten, leakage, linkage, mixing, spans, survivors, syntax
 from siftlake.llm.languages import file_languages
 from siftlake.session import checkpoint, table
 
@@ -36,6 +36,21 @@ def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
     return _credentials(spark, d).select("tab", "row_id", F.size("lines").alias("n_credentials"), "redacted").distinct()
 
 
+def p4_survivors(spark: SparkSession, d: str) -> DataFrame:
+    """The best representative of every finding, single ones included, by trust learnt from the scanners' agreement."""
+    groups = checkpoint(survivors.duplicate_groups(table(spark, d, "raw_findings")))
+    return survivors.best_representative(groups, survivors.source_trust(groups))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_survivors(spark, d).where("n_records > 1").drop("n_records")
+
+
+def p4_trust(spark: SparkSession, d: str) -> DataFrame:
+    """How far each scanner can be trusted, by its agreement with the others."""
+    return survivors.source_trust(survivors.duplicate_groups(table(spark, d, "raw_findings"))).select("scanner", F.round("trust", 6).alias("trust"))
+
+
 def _not_handwritten(spark: SparkSession, d: str) -> DataFrame:
     kinds = handwritten.classify(table(spark, d, "github_files"))
     listed = file_languages(table(spark, d, "scan_results"))
@@ -112,7 +127,7 @@ def p10_shared_part(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_links": p1_links, "p3_found": p3_found, "p3_redacted": p3_redacted, "p6_found": p6_found, "p6_kinds": p6_kinds,
+    "p1_found": p1_found, "p1_links": p1_links, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_survivors": p4_survivors, "p4_trust": p4_trust, "p6_found": p6_found, "p6_kinds": p6_kinds,
     "p7_found": p7_found, "p7_repairs": p7_repairs, "p7_rates": p7_rates, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_selection": p9_selection, "p9_shares": p9_shares,
     "p10_found": p10_found, "p10_passages": p10_passages, "p10_shared_part": p10_shared_part,
 }
