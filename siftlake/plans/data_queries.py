@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlake.operators.snapshots import snapshot_changes, snapshot_order
-from siftlake.operators.survivors import best_representative, duplicate_groups
 from siftlake.operators.timestamps import with_utc_micros
 from siftlake.session import table
 
@@ -39,11 +38,6 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    best = best_representative(duplicate_groups(table(spark, d, "raw_findings")))
-    return best.where("n_records > 1").drop("n_records")
-
-
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     reports = with_utc_micros(
         table(spark, d, "baseline_reports").join(_feeds(spark, d), "feed", "left"), "generated_at", "tz_name", "day_first", out="at"
@@ -58,4 +52,4 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found}
+QUERIES = {"p2_found": p2_found, "p5_found": p5_found}

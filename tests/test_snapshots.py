@@ -38,3 +38,27 @@ def test_against_brute_force(spark):
 def test_empty_report_counts_and_empty_tables(spark):
     assert changes(spark, [(1, 1, 1), (1, 2, 2), (1, 3, 3)], [(1, "f", "x", 1), (3, "f", "x", 1)]) == [(1, 1, 2, "f", "removed"), (1, 2, 3, "f", "added")]
     assert changes(spark, [], []) == []
+
+
+def test_a_middle_row_of_nine_goes(spark):
+    nine = [(1, "f", str(k), k) for k in range(9)]
+    for k in range(9):
+        later = [(2, *r[1:]) for r in nine if r[3] != k]
+        assert changes(spark, [(1, 1, 1), (1, 2, 2)], nine + later) == [(1, 1, 2, "f", "changed")]
+    assert changes(spark, [(1, 1, 1), (1, 2, 2)], nine + [(2, *r[1:]) for r in nine[::-1]] + nine[:2]) == []
+
+
+def test_a_third_of_all_rows_under_one_key(spark):
+    rows = spark.range(3000).selectExpr("id % 2 + 1 as report", "if(id % 3 = 0, 'hot', cast(id div 2 as string)) as fp", "'x' as a", "if(id < 2994 or id % 2 = 0, id div 2, 0) as b")
+    order = snapshot_order(spark.createDataFrame([(1, 1, 1), (1, 2, 2)], REPORTS), "series", "report", "at")
+    out = {r.key: r.change_kind for r in snapshot_changes(order, rows, "report", "fp", ["a", "b"]).collect()}
+    assert out["hot"] == "changed"
+
+
+def test_small_sides_are_measured_in_bytes(spark):
+    from siftlake.operators.joins import small_side
+
+    hinted = lambda df: "Broadcast" in df._jdf.queryExecution().logical().toString() or "broadcast" in df._jdf.queryExecution().logical().toString()
+    wide = spark.range(10).selectExpr("id", "repeat('x', 1000) as t", "array(id) as l")
+    assert hinted(small_side(wide, 20_000)) and not hinted(small_side(wide, 5_000))
+    assert hinted(small_side(wide.limit(0), 0))
