@@ -30,6 +30,15 @@ def lines(code: Column) -> Column:
     return F.split(F.regexp_replace(code, r"\r?\n\z", ""), r"\r?\n")
 
 
+def match_lines(text: Column, pattern: str) -> Column:
+    """Line, from 1, on which each match of the pattern begins, in order: what stands between the matches is split off and its line ends counted."""
+    ends = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+    between, matched = F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    steps = F.transform(matched, lambda m, i: F.struct(ends(F.get(between, i)).alias("gap"), ends(m).alias("own")))
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(steps, start, lambda acc, x: F.struct((acc["at"] + x["gap"] + x["own"]).alias("at"), F.concat(acc["out"], F.array(acc["at"] + x["gap"])).alias("out")))["out"]
+
+
 def language_of(path: Column) -> Column:
     """Language by the file's extension; null for others."""
     return lookup(F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1)), EXTENSIONS)
@@ -82,6 +91,7 @@ def snake_case(name: Column) -> Column:
 
 
 NAME = r"(?<![A-Za-z0-9_])([A-Za-z_][A-Za-z0-9_]{1,62})(?![A-Za-z0-9_])"
+# Words that are no identifiers.
 KEYWORDS = ["if", "else", "for", "while", "return", "def", "class", "import", "from", "in", "is", "not", "and", "or", "None", "True", "False"]
 
 
@@ -91,9 +101,28 @@ def identifiers(text: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: ~w.isin(KEYWORDS)))
 
 
-def category(rule: Column) -> Column:
-    """Family of a rule id for merging across layers: what stands before its number."""
-    return F.lower(F.regexp_extract(rule, "^([A-Za-z]+(?:[-_][A-Za-z]+)*)", 1))
+def category_key(rule: Column) -> Column:
+    """Family of a rule id for merging across layers, in this order: ai, taint, security (by prefix, or by a weakness in
+    the name), the first two steps of rust- and py- ids, else the id itself. Null stays null."""
+    low = F.lower(rule)
+    security = low.rlike("^(?:sec-|rust-sec-|py-sec-)|injection|xss|sqli|ssrf|cmd|path")  # fixed values
+    return (
+        F.when(low.startswith("ai-"), "ai").when(low.startswith("taint-"), "taint").when(security, "security")
+        .when(low.rlike("^(?:rust|py)-"), F.substring_index(rule, "-", 2)).otherwise(rule)
+    )
+
+
+# The code of each category of markers, and what a rule id of that category holds, in order.
+MARKER_CODES = {"security": "SEC", "ai": "AI", "deadcode": "DC", "import": "IMP", "naming": "NAM", "refactor": "REF", "quality": "QAL", "default": ""}
+MARKER_WORDS = [("security", "security|^sec"), ("ai", "ai"), ("deadcode", "dead|unused"), ("import", "import"), ("naming", "naming"), ("refactor", "quality|refactor")]
+
+
+def marker_category(rule: Column) -> Column:
+    """Category of a rule id for numbering markers; ids that hold no such word, and null, are `default`."""
+    out = F.lit("default")
+    for name, words in reversed(MARKER_WORDS):
+        out = F.when(F.lower(rule).rlike(words), F.lit(name)).otherwise(out)
+    return out
 
 
 def glob_regex(pattern: str) -> str:

@@ -8,7 +8,7 @@ import re
 import warnings
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftlake.functions import text as tx
@@ -136,53 +136,140 @@ def mixed_naming(facts: DataFrame) -> DataFrame:
 
 
 def enclosing_function(facts: DataFrame) -> DataFrame:
-    """Each call with the innermost function around it; an interval join within files."""
-    functions = facts.where("kind = 'function'").select("file_id", F.col("name").alias("function"), F.col("line").alias("lo"), F.col("end_line").alias("hi"))
-    calls = facts.where("kind = 'call'").select("file_id", F.col("name").alias("callee"), "line").distinct()
-    both = calls.join(functions, "file_id", "left").where("lo is null or line between lo and hi")
-    return both.groupBy("file_id", "callee", "line").agg(F.max_by("function", "lo").alias("function"))
+    """(file_id, callee, line, function): each call with the first function, by line, whose lines hold it; null outside of functions.
 
-
-def metrics(files: DataFrame, file_id: str, code: str) -> DataFrame:
-    """Line metrics of each file: lines, blank, comment and TODO lines, longest line, deepest bracket nesting, indent share.
-
-    Nesting is a running balance that never falls below 0, folded over the text's brackets.
+    The lines that a function is the first to hold are one interval, and these don't overlap; a call is
+    looked up among them as of its line, by one ordering of each file's functions and calls. No call is paired with all functions.
+    """
+    order = Window.partitionBy("file_id").orderBy("line", F.desc("end_line"), "name")
+    reached = F.max("end_line").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    functions = facts.where("kind = 'function'").select("file_id", F.col("name"), F.greatest(F.col("line"), F.coalesce(reached + 1, F.col("line"))).alias("at"), F.col("end_line").alias("hi"))
+    functions = functions.where("at <= hi").select("file_id", "at", F.lit(0).alias("is_call"), F.lit(None).cast("string").alias("callee"), F.struct("name", "hi").alias("f"))
+    calls = facts.where("kind = 'call'").select("file_id", F.col("line").alias("at"), F.lit(1).alias("is_call"), F.col("name").alias("callee"), F.lit(None).cast(functions.schema["f"].dataType).alias("f")).distinct()
+    last = F.last("f", ignorenulls=True).over(Window.partitionBy("file_id").orderBy("at", "is_call").rowsBetween(Window.unboundedPreceding, 0))
+    found = functions.unionByName(calls).withColumn("f", last).where("is_call = 1")
+    return found.select("file_id", "callee", F.col("at").alias("line"), F.when(F.col("f.hi") >= F.col("at"), F.col("f.name")).alias("function"))
+
+
+# What begins a function and a class on a trimmed line, by language and for others.
+FUNCTION_LINES = {
+    "python": r"^def\s+\w+", "javascript": r"^(function\s+\w+|const\s+\w+\s*=\s*(?:async\s*)?\(|=>)", "typescript": r"^(function\s+\w+|const\s+\w+\s*=\s*(?:async\s*)?\(|=>)",
+    "go": r"^func\s+(\(\w+\s+\*?\w+\)\s+)?\w+", "java": r"^\s*(public|private|protected)?\s*(static)?\s*\w+\s+\w+\s*\(", "rust": r"^\s*(pub\s+)?fn\s+\w+", "": r"^\s*\w+\s+\w+\s*\(",
+}
+CLASS_LINES = {
+    "python": r"^class\s+\w+", "javascript": r"^class\s+\w+", "typescript": r"^class\s+\w+", "go": r"^type\s+\w+\s+struct", "java": r"^\s*class\s+\w+", "rust": r"^\s*(pub\s+)?struct\s+\w+", "": r"^\s*class\s+\w+",
+}
+# A string literal, and what makes a line an import, an open mark and a debug statement.
+STRING = r""""[^"\\]*(?:\\.[^"\\]*)*"|'[^'\\]*(?:\\.[^'\\]*)*'"""
+IMPORT = r"^\s*(?:import|from|require|include|#include)\s+"
+TODO = r"(?i)(TODO|FIXME|HACK|XXX|BUG|NOTE):"
+DEBUG = r"(?i)\b(print|console\.(log|debug)|fmt\.Print|echo|puts|debug)\s*\("
+EMPTY_FUNCTION = r"(?m)^\s*(def|fn|function)\s+\w+\s*\([^)]*\)\s*:\s*\n\s*(?:pass|\.\.\.)\s*(?:\n|\z)"
+
+
+def metrics(files: DataFrame, file_id: str, code: str, language: str | None = None) -> DataFrame:
+    """Thirteen measures of each text, and a few more: lines, functions, classes, mean lines a function, deepest nesting of
+    braces and parentheses, strings, imports, share of comments, mean and longest line in bytes, open marks, debug
+    statements, score of indentation (1 for a multiple of four blanks, else a half), blank lines, empty functions.
+
+    Nesting is a balance by line that never falls below 0. Null texts are left out, empty ones have no lines. Rows are
+    independent; without a language the general patterns hold.
     """
-    ls = tx.lines(F.col(code))
-    trimmed = F.transform(ls, lambda x: F.trim(x))
-    count = lambda p: F.size(F.filter(trimmed, lambda x: x.rlike(p)))
-    brackets = F.split(F.regexp_replace(F.col(code), r"[^{}()\[\]]", ""), "")
-    depth = F.aggregate(
-        brackets, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
-        lambda acc, c: F.struct(
-            F.greatest(F.lit(0), acc["now"] + F.when(c.isin("{", "(", "["), 1).when(c.isin("}", ")", "]"), -1).otherwise(0)).alias("now"),
-            F.greatest(acc["most"], acc["now"] + F.when(c.isin("{", "(", "["), 1).otherwise(0)).alias("most"),
-        ),
-    )["most"]
-    return files.where(F.col(code).isNotNull()).select(
-        F.col(file_id).alias("file_id"), F.size(ls).alias("n_lines"), count("^$").alias("blank"), count(r"^(#|//|/\*|\*)").alias("comment"),
-        count(r"\b(TODO|FIXME|HACK|XXX)\b").alias("todo"), count(r"\b(print|console\.log|fmt\.Print\w*|println!)\s*\(").alias("debug"),
-        F.array_max(F.transform(ls, lambda x: F.length(x))).alias("longest"), depth.alias("nesting"),
-        count(r"^(async\s+)?(export\s+)?(def|function|func|fn|pub fn)\b").alias("functions"),
+    lang = F.coalesce(F.lower(F.col(language)), F.lit("")) if language else F.lit("")
+
+    def by_language(patterns: dict[str, str], x):
+        out = x.rlike(patterns[""])
+        for name, p in patterns.items():
+            if name:
+                out = F.when(F.col("__lang") == name, x.rlike(p)).otherwise(out)
+        return out
+
+    base = files.where(F.col(code).isNotNull()).select(F.col(file_id).alias("file_id"), F.col(code).alias("__code"), lang.alias("__lang"))
+    ls = F.when(F.col("__code") == "", F.array().cast("array<string>")).otherwise(tx.lines(F.col("__code")))
+    split = F.transform(ls, lambda x: F.struct(x.alias("l"), F.regexp_replace(x, r"^\s+|\s+$", "").alias("t"), F.octet_length(F.regexp_extract(x, r"^\s*", 0)).alias("lead"), F.octet_length(x).alias("bytes")))
+    net = lambda x: F.length(F.regexp_replace(x, r"[^{(]", "")) - F.length(F.regexp_replace(x, r"[^})]", ""))
+    one = lambda c: c.cast("int")
+
+    def add(acc, x):
+        line, text = x["l"], x["t"]
+        now = acc["now"] + net(line)
+        filled = text != ""
+        return F.struct(
+            (acc["functions"] + one(by_language(FUNCTION_LINES, text))).alias("functions"), (acc["classes"] + one(by_language(CLASS_LINES, text))).alias("classes"),
+            (acc["strings"] + F.regexp_count(line, F.lit(STRING))).alias("strings"), (acc["imports"] + one(line.rlike(IMPORT))).alias("imports"),
+            (acc["comments"] + one(text.rlike("^(#|//)"))).alias("comments"), (acc["todos"] + one(line.rlike(TODO))).alias("todos"), (acc["debugs"] + one(line.rlike(DEBUG))).alias("debugs"),
+            (acc["bytes"] + x["bytes"]).alias("bytes"), F.greatest(acc["longest"], x["bytes"]).alias("longest"),
+            (acc["even"] + one(filled & (x["lead"] % 4 == 0))).alias("even"), (acc["filled"] + one(filled)).alias("filled"),
+            F.greatest(now, F.lit(0)).alias("now"), F.greatest(acc["nesting"], now).alias("nesting"),
+        )
+
+    names = ["functions", "classes", "strings", "imports", "comments", "todos", "debugs", "bytes", "longest", "even", "filled", "now", "nesting"]
+    sums = F.aggregate("__split", F.struct(*[F.lit(0).alias(n) for n in names]), add)
+    done = base.select("file_id", "__code", "__lang", split.alias("__split")).select("file_id", "__code", F.size("__split").alias("n_lines"), sums.alias("s"))
+    per_line = lambda c: F.coalesce(F.try_divide(c, F.col("n_lines")), F.lit(0.0))
+    return done.select(
+        "file_id", "n_lines", F.col("s.functions").alias("function_count"), F.col("s.classes").alias("class_count"),
+        F.when(F.col("s.functions") > 0, F.col("n_lines") / F.col("s.functions")).otherwise(F.col("n_lines")).cast("double").alias("avg_function_len"),
+        F.col("s.nesting").alias("max_nesting_depth"), F.col("s.strings").alias("string_count"), F.col("s.imports").alias("import_count"),
+        per_line(F.col("s.comments")).alias("comment_density"), per_line(F.col("s.bytes")).alias("avg_line_len"), F.col("s.longest").alias("max_line_len"),
+        F.col("s.todos").alias("todo_count"), F.col("s.debugs").alias("debug_stmts"),
+        F.coalesce(F.try_divide((F.col("s.even") + F.col("s.filled")) * 0.5, F.col("s.filled")), F.lit(1.0)).alias("indentation_score"),
+        (F.col("n_lines") - F.col("s.filled")).alias("blank_lines"), F.regexp_count("__code", F.lit(EMPTY_FUNCTION)).alias("empty_functions"),
     )
 
 
 def anomalies(m: DataFrame) -> DataFrame:
-    """One row per threshold that a file's metrics pass, with severity and confidence."""
+    """(file_id, metric, severity, confidence): one row per bound that a file's measures pass, with a confidence that grows with the excess."""
+    n, todo, debug = F.col("n_lines"), F.try_divide("todo_count", "n_lines"), F.try_divide("debug_stmts", "n_lines")
+    over = lambda c, bound, most: F.least((F.col(c) - bound) / bound, F.lit(most))
+    empty = F.try_divide("empty_functions", "function_count")
+
     def one(name, hit, severity, confidence):
-        return F.when(hit, F.struct(F.lit(name).alias("metric"), F.lit(severity).alias("severity"), F.lit(confidence).alias("confidence")))
+        return F.when(hit, F.struct(F.lit(name).alias("metric"), F.lit(severity).alias("severity"), F.round(confidence, 6).alias("confidence")))
 
-    n = F.col("n_lines")
+    # Bounds, severities, and the most that each confidence can be.
     hits = F.array(
-        one("long_file", n > 500, "medium", 0.8), one("nesting", F.col("nesting") > 5, "high", 0.85), one("long_line", F.col("longest") > 200, "low", 0.7),
-        one("todo_density", (F.col("todo") / n > 0.05) & (F.col("todo") > 3), "low", 0.75), one("debug_density", (F.col("debug") / n > 0.03) & (F.col("debug") > 5), "medium", 0.8),
-        one("function_density", (F.col("functions") / n > 0.15) & (n > 50), "medium", 0.7),
+        one("line_count", n > 500, "medium", over("n_lines", 500, 0.9)), one("avg_function_len", F.col("avg_function_len") > 50, "medium", over("avg_function_len", 50, 0.85)),
+        one("max_nesting_depth", F.col("max_nesting_depth") > 5, "high", over("max_nesting_depth", 5, 0.95)), one("max_line_len", F.col("max_line_len") > 200, "low", over("max_line_len", 200, 0.7)),
+        one("indentation_score", (F.col("indentation_score") < 0.5) & (n > 20), "low", 1 - F.col("indentation_score")),
+        one("todo_density", (todo > 0.05) & (F.col("todo_count") > 3), "info", F.least(todo * 5, F.lit(0.8))),
+        one("debug_density", (debug > 0.03) & (F.col("debug_stmts") > 5), "low", F.least(debug * 10, F.lit(0.85))),
+        one("function_density", (n > 50) & (F.col("function_count") / n > 0.15), "low", F.lit(0.65)),
+        one("empty_function_ratio", (F.col("function_count") > 5) & (empty > 0.3), "low", empty),
     )
     return m.select("file_id", F.inline(F.array_compact(hits)))
 
 
+# Marks of machine-written code, in order; name, severity, confidence and pattern.
+MACHINE_MARKS = [
+    ("Generated Code Header", "medium", 0.8, r"(?i)# generated by|# auto-generated|# code generated"), ("Generic Function Names", "low", 0.6, r"(?i)def\s+(helper|util|tool|utility)\d*\s*\("),
+    ("Generic Class Names", "low", 0.6, r"(?i)class\s+\w*(Helper|Utility|Tool|Manager)\w*\s*[:(]"), ("AI TODO Pattern", "low", 0.7, r"\bTODO:?\s*implement\s+"),
+    ("Generic Import", "low", 0.65, r"(?i)import\s+(utils|helpers|tools|ai|config)\b"), ("Deeply Nested Blocks", "medium", 0.75, r"(?i)(?:deeply\s+)?nested\s+(if|try)\s+blocks"),
+    ("AI Try-Except Pattern", "medium", 0.7, r"(?i)def\s+handle_\w+\s*\(.*?\)\s*:\s*\n\s*try:"), ("AI Todo Bracket Style", "low", 0.6, r"\[\s*(?:TODO|FIXME|HACK)\s*\]"),
+    ("ASCII Table Pattern", "low", 0.5, r"\|\s*\w+\s*\|\s*\w+\s*\|"), ("Placeholder Pass", "low", 0.6, r"(?i)pass\s*#\s*(?:not\s+used|yet|placeholder)"),
+    ("AI Section Headers", "low", 0.55, r"(?i)# === .*? ==="), ("AI Warning Comment", "low", 0.5, r"(?i)(?:extreme|excessive|unnecessary)\s+(?:use|complexity)"),
+    ("Ellipsis Pattern", "low", 0.5, r"\.{3,}\s*(?:#|\z)"), ("Standard Boilerplate", "info", 0.3, r"(?i)if\s+__name__\s*==\s*['\"]__main__['\"]"),
+]
+
+
+def machine_marks(files: DataFrame, file_id: str, code: str) -> DataFrame:
+    """(file_id, line, metric, name, severity, confidence): marks of machine-written code, the first mark in the list on each line.
+
+    Every match in the text counts, at the line it begins on, found from the text between the matches. Null and empty texts have none.
+    """
+    base = files.where(F.col(code).isNotNull()).select(F.col(file_id).alias("file_id"), F.col(code).alias("__code"))
+    found = []
+    for k, (name, severity, confidence, p) in enumerate(MACHINE_MARKS):
+        at = F.when(F.col("__code").rlike(p), tx.match_lines(F.col("__code"), p))
+        found.append(F.transform(at, lambda x: F.struct(x.alias("line"), F.lit(k).alias("k"), F.lit(name).alias("name"), F.lit(severity).alias("severity"), F.lit(confidence).alias("confidence"))))  # noqa: B023
+    none = F.array().cast("array<struct<line:int,k:int,name:string,severity:string,confidence:double>>")
+    every = F.array_sort(F.flatten(F.array(*[F.coalesce(x, none) for x in found])))
+    first = F.filter(every, lambda x, i: (i == 0) | (F.get(every, i - 1)["line"] != x["line"]))
+    return base.select("file_id", F.inline(first)).select("file_id", "line", F.lit("pattern_match").alias("metric"), "name", "severity", "confidence")
+
+
 def anomaly_score(found: DataFrame) -> DataFrame:
-    """Mean of weight times confidence per file, at most 1."""
+    """Mean of weight times confidence over all anomalies and marks of a file, at most 1; files without any have no row."""
     weight = F.when(F.col("severity") == "high", 1.0).when(F.col("severity") == "medium", 0.7).when(F.col("severity") == "low", 0.4).otherwise(0.2)
     return found.groupBy("file_id").agg(F.least(F.lit(1.0), F.round(F.avg(weight * F.col("confidence")), 6)).alias("score"))
 

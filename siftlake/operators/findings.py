@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siftlake.functions import text
 from siftlake.functions.severity import rank
+from siftlake.session import checkpoint
 
 
 def severity_in(findings: DataFrame, severities: Iterable[str], column: str = "severity") -> DataFrame:
@@ -51,12 +52,18 @@ def strongest(findings: DataFrame, keys: tuple[str, ...] = ("file", "line", "rul
 
 
 def merged_across_layers(findings: DataFrame) -> DataFrame:
-    """One row per category, file, line and snippet hash: the strongest rule, all rules and the number of duplicates avoided."""
-    key = [text.category(F.col("rule_id")).alias("category"), "file", "line", F.substring(F.md5(F.coalesce("snippet", F.lit(""))), 1, 8).alias("snippet_hash")]
-    r = rank("severity", "cross_layer")
+    """One row per file, category, line and snippet: the strongest rule, all rules and the number of duplicates avoided.
+
+    Rules of different packs that speak of the same weakness share a category (SEC-001 and
+    RUST-SEC-001). Snippets are told apart by eight digits of a hash; null and empty ones are alike. Of equally
+    severe findings the first by finding_id leads. `file` is part of the key, since scans merge within a file.
+    """
+    snippet = F.coalesce("snippet", F.lit(""))
+    key = ["file", text.category_key(F.col("rule_id")).alias("category"), "line", F.when(snippet == "", "empty").otherwise(F.substring(F.md5(snippet), 1, 8)).alias("snippet_hash")]
+    order = F.struct(rank("severity", "cross_layer"), -F.col("finding_id"))
     return findings.groupBy(*key).agg(
-        F.max_by("rule_id", F.struct(r, -F.col("finding_id"))).alias("primary_rule_id"),
-        F.max_by("severity", F.struct(r, -F.col("finding_id"))).alias("severity"),
+        F.max_by("rule_id", order).alias("primary_rule_id"),
+        F.max_by("severity", order).alias("severity"),
         F.array_sort(F.collect_set("rule_id")).alias("detected_by"),
     ).withColumn("avoided", F.size("detected_by") - 1)
 
@@ -103,8 +110,25 @@ def top_per(findings: DataFrame, group: str, n: int, *order: Column) -> DataFram
     return findings.withColumn("position", F.row_number().over(w)).where(F.col("position") <= n)
 
 
-def marker_ids(findings: DataFrame, *order: Column) -> DataFrame:
-    """With marker_id: the category and a running number within it, of three digits at least."""
-    cat = F.upper(text.category(F.col("rule_id")))
-    number = F.row_number().over(Window.partitionBy(cat).orderBy(*order))
-    return findings.withColumn("marker_id", F.concat_ws("-", cat, F.lpad(number.cast("string"), 6, "0")))
+def marker_ids(findings: DataFrame, *order: str, prefix: str = "") -> DataFrame:
+    """With marker_id: prefix, code of the category and a running number within it, of four digits at least.
+
+    Categories are few and one may hold most rows, so numbers are not given by a window per
+    category: rows are parted by ranges of (category, order), numbered within each part, and raised by the
+    counts of the parts before, of which there are as many rows as parts. `order` must tell rows apart; equal rows get
+    numbers of their own. Null rule ids are of the default category. Columns of the names used inside are replaced.
+    """
+    n = int(findings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    category = text.marker_category(F.col("rule_id"))
+    parted = findings.withColumn("__cat", category).repartitionByRange(n, "__cat", *order)
+    parted = checkpoint(parted.withColumn("__part", F.spark_partition_id()))
+    counts = parted.groupBy("__cat", "__part").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy("__cat").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("__cat", "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    # One row for each part and the few categories in it.
+    numbered = parted.join(F.broadcast(counts), ["__cat", "__part"])
+    number = (F.row_number().over(Window.partitionBy("__part", "__cat").orderBy(*order)) + F.col("__base")).cast("string")
+    code = text.lookup(F.col("__cat"), text.MARKER_CODES)
+    digits = F.when(F.length(number) < 4, F.lpad(number, 4, "0")).otherwise(number)
+    name = F.concat_ws("-", F.nullif(F.lit(prefix), F.lit("")), F.nullif(code, F.lit("")), digits)
+    return numbered.withColumn("marker_id", name).drop("__cat", "__part", "__base")

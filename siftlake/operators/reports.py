@@ -27,10 +27,8 @@ def severity_counts(findings: DataFrame, *group: str) -> DataFrame:
 def marker_groups(findings: DataFrame) -> DataFrame:
     """Counts by severity, by rule, by file and over all, from one pass with grouping sets."""
     view = findings.select(_level().alias("severity"), "rule_id", F.coalesce("file", F.lit("unknown")).alias("file"))
-    view.createOrReplaceTempView("siftlake_markers")
-    return findings.sparkSession.sql(
-        "select severity, rule_id, file, count(*) as n from siftlake_markers group by grouping sets ((severity), (rule_id), (file), ())"
-    )
+    sets = [[F.col("severity")], [F.col("rule_id")], [F.col("file")], []]
+    return view.groupingSets(sets, "severity", "rule_id", "file").agg(F.count("*").alias("n"))
 
 
 def rollup(findings: DataFrame, outer: str) -> DataFrame:
@@ -59,9 +57,9 @@ def scan_diff(previous: DataFrame, current: DataFrame, keys: Sequence[str]) -> D
 
 
 def remediation_rate(diff: DataFrame, *group: str) -> DataFrame:
-    """Percentage of the previous keys that are gone, to one place; 0 without previous keys."""
+    """Percentage of the previous keys that are gone, to one place, ties to the even digit; 0 without previous keys."""
     gone, before = F.count_if(F.col("status") == "remediated"), F.count_if(F.col("status") != "new")
-    return diff.groupBy(*group).agg(gone.alias("remediated"), before.alias("previous"), F.coalesce(F.round(F.try_divide(gone * 100, before), 1), F.lit(0.0)).alias("rate"))
+    return diff.groupBy(*group).agg(gone.alias("remediated"), before.alias("previous"), F.coalesce(F.bround(F.try_divide(gone * 100, before), 1), F.lit(0.0)).alias("rate"))
 
 
 def policy_gate(findings: DataFrame, group: str, threshold: str, blocked: Sequence[str] = (), excluded: Sequence[str] = ()) -> DataFrame:

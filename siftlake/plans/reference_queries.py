@@ -77,6 +77,7 @@ def _scan_sql(rules, source: str, key: str, body: str, language: str | None = No
 
 # --- scans -----------------------------------------------------------------------------------
 
+_HIT = ["file_id", "pack", "rule_id", "severity", "line", "match"]
 _ENTERPRISE = [r for r in packs.RULES if r.pack == "enterprise"]
 _AI = [r for r in packs.RULES if r.pack == "ai"]
 _EXT = "CASE ext " + " ".join(f"WHEN '{e}' THEN '{lang}'" for e, lang in tx.EXTENSIONS.items()) + " END"
@@ -84,17 +85,17 @@ _EXT = "CASE ext " + " ".join(f"WHEN '{e}' THEN '{lang}'" for e, lang in tx.EXTE
 
 @query(_scan_sql(_ENTERPRISE, "documents", "doc_id", "text"))
 def scan_documents_enterprise(spark, d):
-    return scan(table(spark, d, "documents"), _ENTERPRISE, "doc_id", "text").withColumn("line", F.col("line").cast("bigint"))
+    return scan(table(spark, d, "documents"), _ENTERPRISE, "doc_id", "text").select(*_HIT)
 
 
 @query(_scan_sql(_AI, "documents", "doc_id", "text"))
 def scan_documents_ai(spark, d):
-    return scan(table(spark, d, "documents"), _AI, "doc_id", "text").withColumn("line", F.col("line").cast("bigint"))
+    return scan(table(spark, d, "documents"), _AI, "doc_id", "text").select(*_HIT)
 
 
 def _scanned(spark, d):
     files = table(spark, d, "github_files").withColumn("language", tx.lookup(F.lower("ext"), tx.EXTENSIONS))
-    return scan(files, packs.rules_of("all"), "file_id", "code", "language").withColumn("line", F.col("line").cast("bigint"))
+    return scan(files, packs.rules_of("all"), "file_id", "code", "language").select(*_HIT)
 
 
 _ALL_SQL = _scan_sql(packs.RULES, "github_files", "file_id", "code", _EXT)
