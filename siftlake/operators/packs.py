@@ -6,6 +6,12 @@ keyed by pack and id, since ids recur between packs.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
+from pyspark.sql import DataFrame, SparkSession
+
+from siftlake.operators.packs_general import BUSINESS, CONTAINERS, MODELS, TOOLS, WHOLE_TEXT
+from siftlake.operators.packs_languages import SEVERITIES, TABLES
 from siftlake.operators.scan import Rule
 
 PY, ANY = ("python",), ()
@@ -47,43 +53,6 @@ _SECURITY = [
     ("SEC-059", "info", r"(?i)\b(?:price|amount|total|cost)\s*=\s*float\s*\(", "Float for Money", "CWE-841", PY),
 ]
 
-_LANGUAGES = [
-    ("javascript", "JS-SEC-001", "critical", r"\beval\s*\(|\bnew\s+Function\s*\(", "Code Injection", "CWE-95"),
-    ("javascript", "JS-SEC-002", "high", r"\.(?:innerHTML|outerHTML)\s*=|document\.write\s*\(|insertAdjacentHTML\s*\(", "DOM XSS", "CWE-79"),
-    ("javascript", "JS-SEC-003", "critical", r"\bchild_process\b|\bexecSync\s*\(", "Command Execution", "CWE-78"),
-    ("javascript", "JS-SEC-004", "medium", r"__proto__|constructor\.prototype", "Prototype Pollution", "CWE-1321"),
-    ("javascript", "JS-SEC-005", "medium", r"\bMath\.random\s*\(", "Weak Random", "CWE-338"),
-    ("javascript", "JS-SEC-006", "high", r"createHash\s*\(\s*[\"'](?:md5|sha1)[\"']", "Weak Hash", "CWE-327"),
-    ("javascript", "JS-QUAL-001", "low", r"\bconsole\.(?:log|debug|info)\s*\(", "Console Statement", ""),
-    ("javascript", "JS-QUAL-002", "low", r"^\s*debugger\s*;?\s*$", "Debugger Statement", ""),
-    ("javascript", "JS-QUAL-003", "low", r"^\s*var\s+", "Var Declaration", ""),
-    ("typescript", "TS-QUAL-001", "low", r":\s*any\b", "Explicit Any", ""),
-    ("typescript", "TS-QUAL-002", "low", r"@ts-(?:ignore|nocheck)", "Type Check Disabled", ""),
-    ("go", "GO-SEC-001", "critical", r"\bexec\.Command\s*\(", "Command Execution", "CWE-78"),
-    ("go", "GO-SEC-002", "critical", r"\.(?:Query|Exec|QueryRow)\s*\(\s*fmt\.Sprintf", "SQL Injection", "CWE-89"),
-    ("go", "GO-SEC-003", "high", r"\b(?:md5|sha1)\.(?:New|Sum)\b", "Weak Hash", "CWE-327"),
-    ("go", "GO-SEC-004", "high", r"(?i)\b(?:password|secret|token|api_?key)\s*:?=\s*\"[^\"]+\"", "Hardcoded Secret", "CWE-798"),
-    ("go", "GO-SEC-005", "medium", r"\"math/rand\"", "Weak Random", "CWE-338"),
-    ("go", "GO-QUAL-001", "low", r"\bfmt\.Print(?:ln|f)?\s*\(", "Print Statement", ""),
-    ("go", "GO-QUAL-002", "low", r"\bpanic\s*\(", "Panic", ""),
-    ("go", "GO-QUAL-003", "low", r"\b(?:any|interface\{\})\s*\{?$", "Untyped Result", ""),
-    ("java", "JAVA-SEC-001", "critical", r"\bRuntime\.getRuntime\(\)\.exec\s*\(|\bnew\s+ProcessBuilder\s*\(", "Command Execution", "CWE-78"),
-    ("java", "JAVA-SEC-002", "critical", r"\.readObject\s*\(\s*\)", "Unsafe Deserialization", "CWE-502"),
-    ("java", "JAVA-SEC-003", "high", r"MessageDigest\.getInstance\s*\(\s*\"(?:MD5|SHA-?1)\"", "Weak Hash", "CWE-327"),
-    ("java", "JAVA-SEC-004", "high", r"(?i)\bString\s+\w*(?:password|secret|token|key|pass)\w*\s*=\s*\"[^\"]+\"", "Hardcoded Secret", "CWE-798"),
-    ("java", "JAVA-QUAL-001", "low", r"System\.(?:out|err)\.print", "Print Statement", ""),
-    ("java", "JAVA-QUAL-002", "low", r"\bpublic\s+Object\s+\w+\s*\(", "Object Result", ""),
-    ("rust", "RUST-SEC-001", "high", r"\bunsafe\s*\{|\bunsafe\s+fn\b", "Unsafe Code", "CWE-119"),
-    ("rust", "RUST-SEC-002", "critical", r"\bCommand::new\s*\(", "Command Execution", "CWE-78"),
-    ("rust", "RUST-QUAL-001", "low", r"\.(?:unwrap|expect)\s*\(", "Unwrap", ""),
-    ("rust", "RUST-QUAL-002", "low", r"\b(?:println|dbg|eprintln)!\s*\(", "Print Statement", ""),
-    ("php", "PHP-SEC-001", "critical", r"\b(?:system|shell_exec|passthru|proc_open)\s*\(", "Command Execution", "CWE-78"),
-    ("php", "PHP-SEC-002", "critical", r"\bunserialize\s*\(\s*\$_(?:GET|POST|COOKIE|REQUEST)", "Unsafe Deserialization", "CWE-502"),
-    ("ruby", "RUBY-SEC-001", "critical", r"\b(?:system|exec|eval|instance_eval)\s*[\( ]\s*[\"'].*#\{", "Code Injection", "CWE-95"),
-    ("ruby", "RUBY-SEC-002", "critical", r"\bMarshal\.load\b|\bYAML\.load\b", "Unsafe Deserialization", "CWE-502"),
-    ("csharp", "CSHARP-SEC-001", "critical", r"\bBinaryFormatter\b|\bProcess\.Start\s*\(", "Unsafe Call", "CWE-502"),
-]
-
 _ENTERPRISE = [
     ("GDPR-001", "critical", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", "Hardcoded E-mail Address", ""),
     ("GDPR-001-SSN", "critical", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "Hardcoded Social Security Number", ""),
@@ -121,16 +90,6 @@ _INFRASTRUCTURE = [
     ("SEC-IAC-DOCKER-004", "low", r"^\s*ADD\s+https?://"), ("SEC-IAC-DOCKER-005", "medium", r"\bcurl\b.*\|\s*(?:ba)?sh\b"),
 ]
 
-_AI = [
-    ("AI-010", "high", r"(?i)ignore (?:all )?(?:previous|above|prior) instructions|disregard (?:all )?(?:previous|above) instructions", "Direct Prompt Injection", 0.9),
-    ("AI-011", "medium", r"(?i)\byou are now\b|\bpretend (?:to be|you are)\b|\bact as (?:if|an?)\b", "Context Confusion", 0.75),
-    ("AI-012", "high", r"(?i)<\s*tool_call\s*>|\bfunction_call\b", "Proxy Injection via Tool Calls", 0.7),
-    ("AI-050", "high", r"(?i)\b(?:print|log|return)\b.*\bsystem_prompt\b", "System Prompt Leakage", 0.8),
-    ("AI-051", "low", r"(?i)\btool_name\s*=", "Tool Call Collision", 0.5),
-    ("AI-060", "medium", r"(?i)\btemperature\s*[=:]\s*(?:1\.[1-9]|2)", "Temperature Misuse", 0.7),
-    ("AI-101", "critical", r"(?i)\bmcp\b.*\b(?:environ|secret|token)\b", "Tool Server Secret Exfiltration", 0.7),
-]
-
 _EXTENDED = [
     ("SEC-073", "high", r"\.(?:get|get_object_or_404|find_by_id)\s*\([^)]*request\.(?:args|GET|params)", "Insecure Direct Object Reference", "CWE-639"),
     ("SEC-074", "high", r"(?i)\buser_id\s*=\s*request\.", "Horizontal Privilege Escalation", "CWE-285"),
@@ -177,25 +136,23 @@ _EXTENDED = [
     ("DEPCONF-001", "high", r"--extra-index-url\b|\bregistry\s*=\s*http://", "Dependency Confusion", "CWE-427"),
 ]
 
-_ABSENT = [
-    ("enterprise", "LOCK-004", "medium", r"--hash=", r"(?m)^[A-Za-z0-9_.-]+==[0-9]", ("requirements",)),
-    ("security", "SEC-034", "medium", r"Content-Security-Policy", r"<html", ANY),
-]
-
-RULES: list[Rule] = (
+_RULES: list[Rule] = (
     [Rule("security", i, s, p, n, languages=langs, cwe=c) for i, s, p, n, c, langs in _SECURITY]
-    + [Rule(lang, i, s, p, n, languages=(lang,), cwe=c) for lang, i, s, p, n, c in _LANGUAGES]
+    + [Rule(lang, i, SEVERITIES[s], p, n, languages=(lang,), cwe=f"CWE-{c}" if c else "") for lang, rows in TABLES.items() for i, s, c, p, n in rows]
     + [Rule("extended", i, s, p, n, cwe=c) for i, s, p, n, c in _EXTENDED]
     + [Rule("enterprise", i, s, p, n, cwe=c) for i, s, p, n, c in _ENTERPRISE]
     + [Rule("infrastructure", i, s, p) for i, s, p in _INFRASTRUCTURE]
-    + [Rule("ai", i, s, p, n, confidence=c) for i, s, p, n, c in _AI]
+    + [Rule("whole", i, SEVERITIES[s], p, n, mode, guard=g, cwe=f"CWE-{c}" if c else "") for i, s, c, mode, p, g, n in WHOLE_TEXT]
+    + [Rule("tools", i, SEVERITIES[s], p, n, cwe=f"CWE-{c}") for i, s, c, p, n in TOOLS]
+    + [Rule("enterprise", i, SEVERITIES[s], p, n, mode, guard=g) for i, s, mode, p, g, n in BUSINESS]
+    + [Rule("containers", i, SEVERITIES[s], p, n, cwe=f"CWE-{c}") for i, s, c, p, n in CONTAINERS]
+    + [Rule("ai", i, SEVERITIES[s], p, n, mode, guard=g, confidence=c) for i, s, c, mode, p, g, n in MODELS]
 )
-ABSENCE: list[Rule] = [Rule(pack, i, s, p, mode="absent", guard=g, languages=langs) for pack, i, s, p, g, langs in _ABSENT]
 
 #: Which packs an entry point evaluates.
 PROFILES = {
-    "cli": {"security", "extended", "javascript", "typescript", "go", "java", "rust", "php", "ruby", "csharp", "enterprise"},
-    "lib": {"security", "extended"}, "lsp": {"security", "extended"}, "all": {r.pack for r in RULES},
+    "cli": {"security", "extended", "whole", "tools", "javascript", "typescript", "go", "java", "rust", "php", "ruby", "csharp", "enterprise"},
+    "lib": {"security", "extended", "whole", "tools"}, "lsp": {"security", "extended", "whole", "tools"}, "all": {r.pack for r in _RULES},
 }
 
 
@@ -205,3 +162,27 @@ def rules_of(profile: str = "all", ids: set[str] | None = None, at_least: str |
 
     ranks = RANKS["threshold"][0]
     return [r for r in RULES if r.pack in PROFILES[profile] and (not ids or r.rule_id in ids) and (not at_least or ranks[r.severity] >= ranks[at_least])]
+
+
+# The category of the ten most critical risks that each weakness falls under.
+RISKS = {
+    "A01:2021": [22, 59, 200, 276, 284, 285, 352, 377, 425, 601, 639, 668, 706, 732, 862, 863, 922], "A02:2021": [259, 295, 311, 319, 321, 326, 327, 328, 329, 330, 331, 338, 340, 347, 780, 916],
+    "A03:2021": [20, 74, 77, 78, 79, 80, 88, 89, 90, 91, 93, 94, 95, 97, 98, 113, 116, 134, 643, 917, 943, 1336], "A04:2021": [209, 256, 257, 266, 269, 307, 434, 501, 522, 579, 598, 602, 641, 770, 841],
+    "A05:2021": [2, 11, 16, 260, 315, 489, 526, 537, 541, 547, 611, 614, 693, 756, 776, 942, 1004, 1032, 1021], "A06:2021": [937, 1035, 1104], "A07:2021": [255, 287, 290, 294, 297, 300, 302, 304, 306, 346, 384, 521, 613, 620, 640, 798, 940],
+    "A08:2021": [345, 353, 426, 427, 494, 502, 565, 784, 829, 830, 915], "A09:2021": [117, 223, 532, 778], "A10:2021": [918],
+}
+
+
+def risk_of(cwe: str | None) -> str | None:
+    """Risk category of a weakness such as CWE-89; None for others."""
+    number = int(cwe[4:]) if cwe and cwe.startswith("CWE-") and cwe[4:].isdigit() else None
+    return next((risk for risk, members in RISKS.items() if number in members), None)
+
+
+def listing(spark: SparkSession, profile: str = "all") -> DataFrame:
+    """The rules of a profile as a table: pack, rule_id, severity, name, mode, languages, cwe_id, owasp_id, confidence, pattern."""
+    rows = [(r.pack, r.rule_id, r.severity, r.name, r.mode, ",".join(r.languages), r.cwe or None, risk_of(r.cwe), r.confidence, r.pattern) for r in rules_of(profile)]
+    return spark.createDataFrame(rows, "pack string, rule_id string, severity string, name string, mode string, languages string, cwe_id string, owasp_id string, confidence double, pattern string")
+
+
+RULES = [replace(r, owasp=r.owasp or risk_of(r.cwe) or "") for r in _RULES]

@@ -63,15 +63,24 @@ def _lines_sql(source: str, key: str, body: str, extra: str = "") -> str:
 
 
 def _scan_sql(rules, source: str, key: str, body: str, language: str | None = None) -> str:
-    """The rules as one union over the lines."""
+    """The rules as one union over the lines, and over the texts for rules on whole texts."""
     lines = _lines_sql(source, key, body, language or "")
+    q = lambda p: p.replace("'", "''")
     parts = []
     for r in rules:
-        p = r.pattern.replace("'", "''")
-        lang = " AND lang IN (" + ", ".join(f"'{x}'" for x in r.languages) + ")" if r.languages else ""
+        p, g = q(r.pattern), q(r.guard)
         if r.languages and not language:
             continue
-        parts.append(f"SELECT {key} AS file_id, '{r.pack}' AS pack, '{r.rule_id}' AS rule_id, '{r.severity}' AS severity, CAST(n AS BIGINT) AS line, regexp_extract(l, '{p}', 0) AS match FROM ls WHERE regexp_matches(l, '{p}'){lang}")
+        lang = " AND {} IN (" + ", ".join(f"'{x}'" for x in r.languages) + ")" if r.languages else ""
+        head = f"SELECT {key} AS file_id, '{r.pack}' AS pack, '{r.rule_id}' AS rule_id, '{r.severity}' AS severity"
+        guard = f" AND regexp_matches({body}, '(?m){g}')" if g else ""
+        if r.mode == "absent":
+            parts.append(f"{head}, 1 AS line, '' AS match FROM {source} WHERE {body} IS NOT NULL AND NOT regexp_matches({body}, '(?m){p}'){guard}{lang.format(language)}")
+        elif r.mode == "text":
+            m = f"regexp_extract({body}, '(?m){p}', 0)"
+            parts.append(f"{head}, len(string_split(substr({body}, 1, greatest(instr({body}, {m}) - 1, 0)), chr(10))) AS line, {m} AS match FROM {source} WHERE regexp_matches({body}, '(?m){p}'){guard}{lang.format(language)}")
+        else:
+            parts.append(f"{head}, CAST(n AS BIGINT) AS line, regexp_extract(l, '{p}', 0) AS match FROM ls WHERE regexp_matches(l, '{p}'){lang.format('lang')}")
     return f"WITH ls AS ({lines}) " + " UNION ALL ".join(parts)
 
 
@@ -182,13 +191,22 @@ def dedup_strongest(spark, d):
     return fd.strongest(_findings(spark, d)).select("file", "line", "rule_id", "severity", "finding_id")
 
 
-@query(
-    f"""SELECT category, file, line, snippet_hash, arg_max(rule_id, k) AS primary_rule_id, count(DISTINCT rule_id) - 1 AS avoided FROM (
-    SELECT *, lower(regexp_extract(rule_id, '^([A-Za-z]+(?:[-_][A-Za-z]+)*)', 1)) AS category, substr(md5(coalesce(snippet, '')), 1, 8) AS snippet_hash, {_case('cross_layer')} * 10000000000 - finding_id AS k FROM {F0}) GROUP BY ALL"""
-)
+_FAMILY = """CASE WHEN lower(rule_id) LIKE 'ai-%' THEN 'ai' WHEN lower(rule_id) LIKE 'taint-%' THEN 'taint'
+    WHEN lower(rule_id) LIKE 'sec-%' OR lower(rule_id) LIKE 'rust-sec-%' OR lower(rule_id) LIKE 'py-sec-%' OR regexp_matches(lower(rule_id), 'injection|xss|sqli|ssrf|cmd|path') THEN 'security'
+    WHEN lower(rule_id) LIKE 'rust-%' OR lower(rule_id) LIKE 'py-%' THEN array_to_string(string_split(rule_id, '-')[1:2], '-') ELSE rule_id END"""
+_LAYERS = f"""SELECT category, file, line, snippet_hash, arg_max(rule_id, k) AS primary_rule_id, array_to_string(list_sort(list(DISTINCT rule_id)), ',') AS detected_by, count(DISTINCT rule_id) - 1 AS avoided FROM (
+    SELECT *, {_FAMILY} AS category, CASE WHEN coalesce(snippet, '') = '' THEN 'empty' ELSE substr(md5(snippet), 1, 8) END AS snippet_hash, {_case('cross_layer')} * 10000000000 - finding_id AS k FROM {F0}) GROUP BY ALL"""
+
+
+@query(_LAYERS)
 def dedup_across_layers(spark, d):
     m = fd.merged_across_layers(_findings(spark, d))
-    return m.select("category", "file", "line", "snippet_hash", "primary_rule_id", F.col("avoided").cast("bigint").alias("avoided"))
+    return m.select("category", "file", "line", "snippet_hash", "primary_rule_id", F.array_join("detected_by", ",").alias("detected_by"), F.col("avoided").cast("bigint").alias("avoided"))
+
+
+@query(f"SELECT CAST(sum(avoided) AS BIGINT) AS avoided, count(*) AS kept FROM ({_LAYERS})")
+def duplicates_avoided(spark, d):
+    return fd.merged_across_layers(_findings(spark, d)).agg(F.sum("avoided").alias("avoided"), F.count("*").alias("kept"))
 
 
 @query(
@@ -200,12 +218,15 @@ def priority_top5(spark, d):
     return top.select("finding_id", "repo", F.round("priority", 4).alias("priority"), F.col("position").cast("bigint").alias("position"))
 
 
+_MARKER = "CASE " + " ".join(f"WHEN regexp_matches(lower(rule_id), '{w}') THEN '{tx.MARKER_CODES[n]}'" for n, w in tx.MARKER_WORDS) + " ELSE '' END"
+
+
 @query(
-    f"""SELECT finding_id, c || '-' || lpad(CAST(row_number() OVER (PARTITION BY c ORDER BY finding_id) AS VARCHAR), 6, '0') AS marker_id FROM (
-    SELECT finding_id, upper(lower(regexp_extract(rule_id, '^([A-Za-z]+(?:[-_][A-Za-z]+)*)', 1))) AS c FROM {F0})"""
+    f"""SELECT finding_id, CASE WHEN c = '' THEN '' ELSE c || '-' END || CASE WHEN k < 10000 THEN lpad(CAST(k AS VARCHAR), 4, '0') ELSE CAST(k AS VARCHAR) END AS marker_id FROM (
+    SELECT finding_id, c, row_number() OVER (PARTITION BY c ORDER BY finding_id) AS k FROM (SELECT finding_id, {_MARKER} AS c FROM {F0}))"""
 )
 def marker_id_sequence(spark, d):
-    return fd.marker_ids(_findings(spark, d), F.col("finding_id")).select("finding_id", "marker_id")
+    return fd.marker_ids(_findings(spark, d), "finding_id").select("finding_id", "marker_id")
 
 
 # --- aggregations ------------------------------------------------------------------------------
@@ -259,7 +280,7 @@ def scan_diff(spark, d):
 
 
 @query(
-    f"SELECT repo, count(*) FILTER (status = 'remediated') AS remediated, count(*) FILTER (status <> 'new') AS previous, coalesce(round(count(*) FILTER (status = 'remediated') * 100 / nullif(count(*) FILTER (status <> 'new'), 0), 1), 0.0) AS rate FROM {_STATUS} GROUP BY repo"
+    f"SELECT repo, count(*) FILTER (status = 'remediated') AS remediated, count(*) FILTER (status <> 'new') AS previous, coalesce(round_even(count(*) FILTER (status = 'remediated') * 100 / nullif(count(*) FILTER (status <> 'new'), 0), 1), 0.0) AS rate FROM {_STATUS} GROUP BY repo"
 )
 def remediation_rate(spark, d):
     return rp.remediation_rate(_two_scans(spark, d), "repo")
@@ -289,7 +310,7 @@ def rescan_diff(spark, d):
 
 
 @query(
-    f"SELECT repo, count(*) FILTER (status = 'remediated') AS remediated, count(*) FILTER (status <> 'new') AS previous, coalesce(round(count(*) FILTER (status = 'remediated') * 100 / nullif(count(*) FILTER (status <> 'new'), 0), 1), 0.0) AS rate FROM {_RESCANNED} GROUP BY repo"
+    f"SELECT repo, count(*) FILTER (status = 'remediated') AS remediated, count(*) FILTER (status <> 'new') AS previous, coalesce(round_even(count(*) FILTER (status = 'remediated') * 100 / nullif(count(*) FILTER (status <> 'new'), 0), 1), 0.0) AS rate FROM {_RESCANNED} GROUP BY repo"
 )
 def rescan_remediation_rate(spark, d):
     return rp.remediation_rate(_rescans(spark, d), "repo")
@@ -432,32 +453,77 @@ def fixed_files(spark, d):
 
 # --- metrics and structure -------------------------------------------------------------------------
 
-_METRICS = f"""SELECT file_id, CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(list_filter(ls, lambda x: trim(x, ' ') = '')) AS BIGINT) AS blank,
- CAST(len(list_filter(ls, lambda x: regexp_matches(trim(x, ' '), '^(#|//|/\\*|\\*)'))) AS BIGINT) AS comment, CAST(len(list_filter(ls, lambda x: regexp_matches(x, '\\b(TODO|FIXME|HACK|XXX)\\b'))) AS BIGINT) AS todo,
- CAST(list_max(list_transform(ls, lambda x: length(x))) AS BIGINT) AS longest
- FROM (SELECT file_id, string_split_regex(regexp_replace(code, '\\r?\\n\\z', ''), '\\r?\\n') AS ls FROM github_files WHERE code IS NOT NULL)"""
+_LS = f"SELECT file_id, coalesce({_EXT}, '') AS lang, code, CASE WHEN code = '' THEN [] ELSE string_split_regex(regexp_replace(code, '\\r?\\n\\z', ''), '\\r?\\n') END AS ls FROM github_files WHERE code IS NOT NULL"
+
+
+def _by_lang(patterns: dict[str, str]) -> str:
+    q = lambda p: p.replace("'", "''")
+    return "CASE lang " + " ".join(f"WHEN '{n}' THEN regexp_matches(t, '{q(p)}')" for n, p in patterns.items() if n) + f" ELSE regexp_matches(t, '{q(patterns[''])}') END"
+
+
+_STR, _EMPTY = cd.STRING.replace("'", "''"), cd.EMPTY_FUNCTION.replace("'", "''")
+# The balance that never falls below 0 is the running sum less its least value so far, 0 included.
+_METRICS = f"""WITH f AS ({_LS}), u AS (SELECT file_id, lang, unnest(ls) AS l, generate_subscripts(ls, 1) AS n FROM f), t AS (SELECT *, regexp_replace(l, '^\\s+|\\s+$', '', 'g') AS t FROM u),
+ w AS (SELECT *, sum(len(regexp_replace(l, '[^{{(]', '', 'g')) - len(regexp_replace(l, '[^}})]', '', 'g'))) OVER (PARTITION BY file_id ORDER BY n) AS s FROM t),
+ x AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY file_id ORDER BY n)) AS depth FROM w),
+ a AS (SELECT file_id, count(*) AS n_lines, count(*) FILTER ({_by_lang(cd.FUNCTION_LINES)}) AS function_count, count(*) FILTER ({_by_lang(cd.CLASS_LINES)}) AS class_count,
+  CAST(greatest(max(depth), 0) AS BIGINT) AS max_nesting_depth, CAST(sum(len(regexp_extract_all(l, '{_STR}'))) AS BIGINT) AS string_count, count(*) FILTER (regexp_matches(l, '{cd.IMPORT}')) AS import_count,
+  count(*) FILTER (regexp_matches(t, '^(#|//)')) AS comments, sum(strlen(l)) AS bytes, max(strlen(l)) AS max_line_len, count(*) FILTER (regexp_matches(l, '{cd.TODO}')) AS todo_count, count(*) FILTER (regexp_matches(l, '{cd.DEBUG}')) AS debug_stmts,
+  count(*) FILTER (t <> '') AS filled, count(*) FILTER (t <> '' AND strlen(regexp_extract(l, '^\\s*', 0)) % 4 = 0) AS even FROM x GROUP BY file_id)
+ SELECT f.file_id AS file_id, coalesce(n_lines, 0) AS n_lines, coalesce(function_count, 0) AS function_count, coalesce(class_count, 0) AS class_count,
+  CASE WHEN function_count > 0 THEN n_lines / function_count ELSE coalesce(n_lines, 0) END AS avg_function_len, coalesce(max_nesting_depth, 0) AS max_nesting_depth, coalesce(string_count, 0) AS string_count, coalesce(import_count, 0) AS import_count,
+  coalesce(comments / n_lines, 0) AS comment_density, coalesce(bytes / n_lines, 0) AS avg_line_len, coalesce(max_line_len, 0) AS max_line_len, coalesce(todo_count, 0) AS todo_count, coalesce(debug_stmts, 0) AS debug_stmts,
+  coalesce((even + filled) * 0.5 / nullif(filled, 0), 1.0) AS indentation_score, coalesce(n_lines - filled, 0) AS blank_lines, CAST(len(regexp_extract_all(code, '{_EMPTY}')) AS BIGINT) AS empty_functions
+ FROM f LEFT JOIN a ON f.file_id = a.file_id"""
+_ANOMALIES = f"""WITH m AS ({_METRICS}) SELECT file_id, metric, severity, round(confidence, 6) AS confidence FROM (
+ SELECT file_id, 'line_count' AS metric, 'medium' AS severity, least((n_lines - 500) / 500, 0.9) AS confidence FROM m WHERE n_lines > 500
+ UNION ALL SELECT file_id, 'avg_function_len', 'medium', least((avg_function_len - 50) / 50, 0.85) FROM m WHERE avg_function_len > 50
+ UNION ALL SELECT file_id, 'max_nesting_depth', 'high', least((max_nesting_depth - 5) / 5, 0.95) FROM m WHERE max_nesting_depth > 5
+ UNION ALL SELECT file_id, 'max_line_len', 'low', least((max_line_len - 200) / 200, 0.7) FROM m WHERE max_line_len > 200
+ UNION ALL SELECT file_id, 'indentation_score', 'low', 1 - indentation_score FROM m WHERE indentation_score < 0.5 AND n_lines > 20
+ UNION ALL SELECT file_id, 'todo_density', 'info', least(todo_count / n_lines * 5, 0.8) FROM m WHERE todo_count / nullif(n_lines, 0) > 0.05 AND todo_count > 3
+ UNION ALL SELECT file_id, 'debug_density', 'low', least(debug_stmts / n_lines * 10, 0.85) FROM m WHERE debug_stmts / nullif(n_lines, 0) > 0.03 AND debug_stmts > 5
+ UNION ALL SELECT file_id, 'function_density', 'low', 0.65 FROM m WHERE n_lines > 50 AND function_count / n_lines > 0.15
+ UNION ALL SELECT file_id, 'empty_function_ratio', 'low', empty_functions / function_count FROM m WHERE function_count > 5 AND empty_functions / function_count > 0.3)"""
+
+
+def _metrics(spark, d):
+    files = table(spark, d, "github_files").withColumn("language", tx.lookup(F.lower("ext"), tx.EXTENSIONS))
+    return cd.metrics(files, "file_id", "code", "language")
 
 
 @query(_METRICS)
 def file_metrics(spark, d):
-    m = cd.metrics(table(spark, d, "github_files"), "file_id", "code")
-    return m.select("file_id", *[F.col(c).cast("bigint").alias(c) for c in ("n_lines", "blank", "comment", "todo", "longest")])
+    m = _metrics(spark, d)
+    return m.select([F.col(f.name).cast("bigint") if f.dataType.typeName() == "integer" else f.name for f in m.schema])
 
 
-@query()
-def file_nesting(spark, d):
-    """Deepest bracket nesting of each file."""
-    return cd.metrics(table(spark, d, "github_files"), "file_id", "code").select("file_id", "nesting")
+@query(_ANOMALIES)
+def anomaly_findings(spark, d):
+    return cd.anomalies(_metrics(spark, d))
 
 
-@query()
-def anomaly_findings(spark, d):
-    return cd.anomalies(cd.metrics(table(spark, d, "github_files"), "file_id", "code"))
+_WEIGHT = "CASE severity WHEN 'high' THEN 1.0 WHEN 'medium' THEN 0.7 WHEN 'low' THEN 0.4 ELSE 0.2 END"
 
 
-@query()
+@query(f"SELECT file_id, least(1.0, round(avg({_WEIGHT} * confidence), 6)) AS score FROM ({_ANOMALIES}) GROUP BY file_id")
 def anomaly_scores(spark, d):
-    return cd.anomaly_score(cd.anomalies(cd.metrics(table(spark, d, "github_files"), "file_id", "code")))
+    return cd.anomaly_score(cd.anomalies(_metrics(spark, d)))
+
+
+_MARKS = " UNION ALL ".join(
+    f"SELECT file_id, {k} AS k, '{n}' AS name, '{sev}' AS severity, {c} AS confidence, code, regexp_extract_all(code, '{p}') AS m, string_split_regex(code, '{p}') AS s FROM github_files"
+    for k, (n, sev, c, p) in enumerate((n, sev, c, p.replace("'", "''")) for n, sev, c, p in cd.MACHINE_MARKS)
+)
+
+
+@query(
+    f"""WITH u AS (SELECT file_id, k, name, severity, confidence, m, s, unnest(range(1, len(m) + 1)) AS i FROM ({_MARKS}) WHERE len(m) > 0),
+    loc AS (SELECT file_id, k, name, severity, confidence, len(string_split(array_to_string(s[1:i], '') || array_to_string(m[1:i - 1], ''), chr(10))) AS line FROM u)
+    SELECT file_id, line, 'pattern_match' AS metric, arg_min(name, k) AS name, arg_min(severity, k) AS severity, arg_min(confidence, k) AS confidence FROM loc GROUP BY file_id, line"""
+)
+def machine_marks(spark, d):
+    return cd.machine_marks(table(spark, d, "github_files"), "file_id", "code").withColumn("line", F.col("line").cast("bigint"))
 
 
 def _facts(spark, d):
