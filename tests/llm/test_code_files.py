@@ -176,3 +176,96 @@ def test_long_opening_and_closing_comments():
     assert handwritten.notices(block + " * " + notice + "\n */" + body) == "generated"
     assert handwritten.notices(body + "// " + notice + "\n" + lines * 2) == "generated"
     assert handwritten.notices(lines + body) is None and handwritten.notices(block + " */" + body) is None
+
+
+BAD_PY = [
+    'f(a=1, 2)', 'def f(a=1, b): pass', '1 = x', 'del 1', 'x = 0777', 'f"{a b}"', 'f(**a, *b)', 'class A(x for x in y): pass', 'f() = 1', 'a + b = c',
+    'def f(**k, a): pass', 'def f(*): pass', 'lambda a=1, b: a', 'x = 1__0', 'x = 0x', 'x = 1e', 'for 1 in y: pass', '[x for 1 in y]', 'a + 1 += 2', '(a, b) += 1',
+    "f'{}'", "f'{a!x}'", "f'{a:{b c}}'", "f'}'", 'with open(x) as 1: pass', 'None = 1', 'import a.b as c.d', 'from . import', 'def f(a, a=, b): pass',
+    'def f(, *a): pass', 'def f(,): pass', 'return = 1', 'x = = 1', 'if x = 1: pass', "print 'a'", 'else: pass', 'try: pass', 'a ? b : c', 'x ++', 'def f():\n pass\n  x',
+    '[1, 2', 'f(a for a in b, c)', 'del f()', 'del (a, 1)', 'x: int: str', 'a, b: int = 1', 'not = 1', 'f(a.b=1)', 'x = yield = 1', 'lambda: (yield) = 1', 'async x = 1',
+    'class: pass', 'raise a, b', 'global a.b', 'def f(a:): pass', '{a: 1, b}', '{**a for a in b}', 'a if b', 'assert', 'import', 'while: pass',
+    'match x:\n case 1 +: pass', '@\ndef f(): pass',
+]
+
+GOOD_PY = [
+    'f(1, *a, b=2, *c, **d)', 'def f(a, /, b=1, *c, d, e=2, **k): pass', 'def f(a, *, b): pass', 'lambda a, *b, c=1, **d: 0', 'a = b = c, d = 1, 2', '(a), [b, *c] = x',
+    'a.b[1:2].c += 1', 'x: int = 1', '(x): int', 'a.b: int = 2', 'del a, (b, [c]), d.e, f[0]', 'f"{a!r:>{w}} {{x}} {b=} {c[1]:.2f}"', "f'{x:%Y-%m}'", 'f\'{d["a"]}\'',
+    "rf'\\d{a}'", 'x = 0_0 + 0x_f + 1_000.5e-3j + .5 + 1. + 0o17 + 0b1', 'for i, (a, *b) in y: pass', 'with (open(a) as b, c as d.e): pass', 'with a, b as c: pass',
+    'class A(B, metaclass=C): pass', 'f(x for x in y)', 'async def f():\n async for a in b: await c', 'x = yield', "print(*a, sep='')", 'if (n := 10) > 5: pass',
+    'def f(*, a=1, **k): pass', '@a.b(c)\ndef f(): ...', "match x:\n case {'a': 1, **r} if y: pass\n case A(b=1) | [1, *_]: pass\n case _: pass", 'type X[T] = list[T]',
+    'def f[T: int](a: T) -> T: return a', 'try:\n pass\nexcept* A as e:\n pass', 'x = a if b else c if d else e', 'global a, b', 'a = *b, c', 'return_ = 1', '[*a, *b]',
+    "{**a, 'b': 1}", 'x[a:b, ..., c:=1]', 'not a in b is not c', 'f(a)(b)[c].d', "f''", "f'{lambda_}'", "f'{(lambda x: 1)(2)}'", "f'{a if b else c}'", "f'{a:{b}.{c}}'",
+    "f'''{\na}'''", 'def f(a, b=1, /, c=2): pass', 'x = 1if a else 2', 'lambda: (yield)', 'lambda *, a: a', "f'{a!r}' 'b'", "f'{a == b}'", "f'{a != b!r}'",
+]
+
+BAD_JS = [
+    '1 = 2;', 'const a;', 'class { }', 'a?.b = 1;', 'a ?? b || c;', '-1 ** 2;', 'f() = 1;', 'a + b = c;', 'function () {}', 'let [a];', 'const {a};', 'var {a};',
+    'a && b ?? c;', 'typeof a ** 2;', 'if (a', 'for (const x;;) {}', 'x = ;', 'return return;', '({a:1,,b:2});', 'new.foo;', 'a => => b;', '1++;', 'for (1 of a) {}',
+    "import a b from 'c';", 'export default;', 'try { }', 'switch (a) { b }', 'do x while', 'a.1;', '0x;', '1a;', 'class A { x y }', 'let 1 = a;', '({ a: 1 b: 2 });',
+    'async () = 1;', 'throw\n;', 'else {}', 'case 1:', '}', 'var x = [1, 2;', '@',
+]
+
+GOOD_JS = [
+    'a = b = c;', '[a, b] = [b, a];', '({a, b: [c]} = d);', 'const a = 1, {b, c = 2} = d;', 'for (const a of b) {}', 'for (const [k, v] of m) {}',
+    'for (var i = 0, n = 5; i < n; i++) {}', 'for (let x in y);', '(-1) ** 2;', '2 ** -1;', 'a ** b ** c;', '++a ** 2;', '(a ?? b) || c;', 'a ?? b ?? c;', 'a || b && c;',
+    'a?.b?.[c]?.(d);', 'a.b?.c;', 'export default class { }', 'export default function () {}', 'var f = function () {}, g = class { };', '(function () {})();',
+    'async function f() { await a; }', 'a ? b : c ? d : e;', 'x => ({ y: x });', 'async x => await x;', 'if (a) /re/.test(b);', 'a = b / c / d;',
+    'label: for (;;) break label;', 'new Foo(a).bar[b] = c;', 'new (f())();', '`a ${b} c`;', 'delete a.b;', 'let\na = 1', 'a\nb',
+    'class A extends B { #x = 1; static y; get z() { return this.#x; } async *g() {} }', "import a, { b as c } from 'd';", "export * as x from 'y';",
+    'for await (const x of y) {}', 'a **= 2; b ??= c; d ||= e;', 'var a, b;', 'let [a = 1, ...b] = c;', '({ [a]: b, get c() { return 1; }, d() {} });', 'yield_ = 1;',
+    "throw new Error('a');", '!a in b;', 'void 0;', 'a = async () => {};', '1..toFixed();', 'while (a) /x/g.exec(b);', 'if (a) b; else c;', 'super_.x = 1;', '(a, b);',
+    '(a) = 1;', 'a[b](c).d = 1;', 'import.meta.url;', 'let async = 1;', 'x = y => z;', 'x = (a, b) => a ?? b;', "typeof (a) == 'b';", '-a * b;', 'await_ ** 2;',
+]
+
+
+def test_python_as_its_own_parser_has_it():
+    import ast
+    import warnings
+
+    from siftlake.llm import syntax
+
+    def reads(code):
+        try:
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")
+                ast.parse(code)
+            return True
+        except SyntaxError:
+            return False
+
+    assert not any(map(reads, BAD_PY)) and all(map(reads, GOOD_PY))
+    assert [c for c in BAD_PY if syntax.repair(c + "\n", "python")[0] == 0] == []
+    assert [c for c in GOOD_PY if syntax.repair(c + "\n", "python")[0] > 0] == []
+
+
+def test_javascript_and_others():
+    from siftlake.llm import syntax
+
+    assert [c for c in BAD_JS if syntax.repair(c + "\n", "javascript")[0] == 0] == []
+    assert [c for c in GOOD_JS if syntax.repair(c + "\n", "javascript")[0] > 0] == []
+    other = [
+        ("go", "package a\nvar x = 0x1p-2\n", True), ("rust", "fn f() { t.0.1; }\n", True), ("java", "module m { }\n", True), ("go", "package a\nfunc f() { 1 = x }\n", False), ("go", "func f() {}\n", False),
+        ("java", "class A { void f() { 1 = x; } }\n", False), ("go", "package a\nfunc f() { x = 1; *p = 2; a[i], b.c = 1, 2; x++ }\n", True), ("java", "class A { void f() { x = y = 1; a[0].b += 2; this.x = 3; i++; } }\n", True),
+        ("java", "open module a { uses b.C; provides d.E with f.G, h.I; opens x; }\n", True),
+    ]
+    assert [(lang, c) for lang, c, ok in other if (syntax.repair(c, lang)[0] == 0) != ok] == []
+
+
+def test_repeats_are_parsed_whole():
+    from siftlake.llm import syntax
+
+    deep = "x = " + " ".join(f"a{i} ?" for i in range(60)) + " 1" + " : 2" * 60 + ";\n"
+    assert syntax.repair(deep, "javascript")[0] == 0 and syntax.repair(deep.replace(" : 2;", ";"), "javascript")[0] == 1
+    data = "x = [" + "1, 2, " * 5000 + "]\n"
+    assert syntax.repair(data, "python")[0] == 0 and syntax.repair(data.replace("2, ]", "2 3, ]"), "python")[0] == 1
+
+
+def test_least_costs():
+    from siftlake.llm import syntax
+
+    # a group counts as one token; an indented block without its colon is one more edit
+    for code, cost in [("x = (1 2)\n", 1), ("x = 1 2\n", 1), ("x = 1 2 = = 3\n", 2), ("def f(a=1, b): pass\n", 1), ("if x\n    y\n", 2), ("a b c d e f\n", 3)]:
+        assert syntax.repair(code, "python")[0] == cost, code
+    for code, cost in [("x = a ? 1;\n", 1), ("x = 1 2;\n", 1), ("f(a b);\n", 1), ("let x = a ? b ? 1 : 2;\n", 1)]:
+        assert syntax.repair(code, "javascript")[0] == cost, code
