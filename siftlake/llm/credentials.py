@@ -86,7 +86,7 @@ _RUST = re.compile(r"(?P<comment>//[^\n]*|/\*[\s\S]*?(?:\*/|\Z))|(?P<string>" +
 _JOIN = re.compile(r"\s*(?:[+.\\]\s*|\|\|\s*|)\Z")
 #: What stands before a literal that something is assigned or passed: a name, perhaps a type, an operator, perhaps a wrapper.
 _TARGET = re.compile(
-    r"""(?:(?P<name>[A-Za-z_$][\w$.-]*)|["'`](?P<quoted>[^"'`\n]{1,60})["'`])\s*\]?\s*(?::\s*(?![\"'`])[&\w<>\[\].' ]{1,40}?)?\s*(?::=|=>|=|:)\s*(?:[\(\[]\s*)?(?:[rbfuRBFU]{1,2}|(?:String::from|String|Some|str|new\s+\w+|bytes|Buffer\.from|SecretStr|concat!)\s*\(\s*|(?:""|'')\.join\(\s*[\[(]\s*|String\.join\(\s*"",\s*)?\Z"""
+    r"""(?:(?P<name>[A-Za-z_$][\w$.-]*)|["'`](?P<quoted>[^"'`\n]+)["'`])\s*\]?\s*(?::\s*(?![\"'`])(?:[&\w<>.|' ]|\[(?:[^\[\]\n=]|\[(?:[^\[\]\n=]|\[[^\[\]\n=]*\])*\])*\])+?)?\s*(?::=|=>|=|:)\s*(?:[\(\[]\s*)?(?:[rbfuRBFU]{1,2}|(?:String::from|String|Some|str|new\s+\w+|bytes|Buffer\.from|SecretStr|concat!)\s*\(\s*|(?:""|'')\.join\(\s*[\[(]\s*|String\.join\(\s*"",\s*)?\Z"""
 )
 #: What opens a list of pieces that make one value although commas part them.
 _PIECES = re.compile(r"""(?:concat!\s*\(|(?:""|'')\.join\(\s*[\[(]|String\.join\(\s*"",)\s*\Z""")
@@ -118,7 +118,7 @@ def placeholder(value: str) -> bool:
 def secret_like(value: str) -> bool:
     """Whether a value under a credential name can be the credential: neither placeholder, reference, name nor prose."""
     value = value.strip()
-    if len(value) < 6 or placeholder(value) or len(value) > 5000:
+    if len(value) < 6 or placeholder(value):
         return False
     digit, lower, upper = (re.search(c, value) is not None for c in ("[0-9]", "[a-z]", "[A-Z]"))
     if re.search(r"\s", value):
@@ -220,6 +220,8 @@ def find(text: str, ext: str = "") -> list[tuple[int, int, str]]:
                     found.append((lo, hi, "named"))
     pieces: list[tuple[int, int]] = []  # adjacent literals that make one value
     last_end, listed = -1, False
+    opened = before_that = 0  # where the literal before the pieces begins, and where the last literal does
+    comments: list[tuple[int, int]] = []
 
     def settle():
         if pieces:
@@ -229,8 +231,12 @@ def find(text: str, ext: str = "") -> list[tuple[int, int, str]]:
             while quote > 0 and text[quote - 1] in "\"'`#rbfuRBFU" and first - quote < 6:
                 quote -= 1
             if secret_like(value):
-                before = text[max(0, quote - 160) : first]
-                before = before[: len(before) - (first - quote)] + re.sub(r"[\"'`#]", "", before[len(before) - (first - quote) :])
+                # All that stands between, from the literal before, without comments.
+                before, at = "", opened
+                for lo, hi in comments:
+                    if at <= lo < quote:
+                        before, at = before + text[at:lo] + " ", hi
+                before += text[at:quote] + re.sub(r"[\"'`#]", "", text[quote:first])
                 target = _TARGET.search(before) or _CALL.search(before)
                 if target:
                     name = next(g for g in target.groups() if g)
@@ -248,16 +254,23 @@ def find(text: str, ext: str = "") -> list[tuple[int, int, str]]:
             lo, hi = m.start() + lo, m.start() + hi
             if not config:
                 found += _forms(text, lo, hi)
-            gap = text[last_end : m.start()]
-            if not pieces:
-                listed = bool(_PIECES.search(text, max(0, m.start() - 40), m.start()))
+            gap, at = "", last_end
+            for a, b in comments:
+                if pieces and a >= at:
+                    gap, at = gap + text[at:a] + " ", b
+            gap += text[at : m.start()]
+            fresh = not pieces
             if pieces and (gap == "" or not (_JOIN.fullmatch(gap) or listed and _COMMA.fullmatch(gap))):
-                listed = bool(_PIECES.search(text, max(0, m.start() - 40), m.start()))
                 settle()
-                pieces = []
+                pieces, fresh = [], True
+            if fresh:
+                listed = bool(_PIECES.search(text, before_that, m.start()))
+                opened = before_that
+                comments = [c for c in comments if c[0] >= opened]
             pieces.append((lo, hi))
-            last_end = m.end()
+            before_that, last_end = m.start(), m.end()
         elif m.lastgroup == "comment":
+            comments.append(m.span())
             if not config:
                 found += _forms(text, m.start(), m.end())
             for line in re.finditer(r"[^\n]+", m.group()):

@@ -1,18 +1,5 @@
-"""Joins that broadcast one side only behind a check of its size."""
+"""Joins that broadcast one side only behind a check of its size; the core's, which measures bytes."""
 
-from __future__ import annotations
+from siftlake.operators.joins import MAX_BYTES, small_side
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from siftlake.session import checkpoint
-
-#: Rows of at most some dozen bytes each: 2 million are under 100 MB in a broadcast. Wider rows get a lower bound where they are used.
-MAX_ROWS = 2_000_000
-
-
-def small_side(df: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """df, written to the shared folder and counted; hinted for broadcast if it has at most
-    `max_rows` rows. Beyond that the join shuffles, with AQE against skew."""
-    df = checkpoint(df)
-    return F.broadcast(df) if df.count() <= max_rows else df
+__all__ = ["MAX_BYTES", "small_side"]

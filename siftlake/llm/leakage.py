@@ -90,12 +90,14 @@ def leaks(
     tests = fingerprints(items, item_id, item_text, k, window).select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "h")
     found = fingerprints(corpus, doc_id, doc_text, k, window)
     hits = found.join(small_side(tests), "h")
-    # One row per alignment: all hits on one diagonal lie in few runs, each of which is extended once.
+    # One row per alignment: all hits on one diagonal lie in few runs, each of which is extended once. An item's text goes
+    # along once for a document that it hits, not once for each alignment.
     lines = hits.groupBy(F.col("id").alias("doc_id"), "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.sort_array(F.collect_set("item_pos")).alias("at"))
     texts = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("item_text")).dropDuplicates(["item_id"])
-    per_doc = lines.join(texts, "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "item_text", "shift", "at")).alias("hits"))
+    pairs = lines.groupBy("doc_id", "item_id").agg(F.collect_list(F.struct("shift", "at")).alias("lines"))
+    per_doc = pairs.join(small_side(texts), "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "item_text", "lines")).alias("hits"))
     docs = corpus.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).alias("doc_text"))
-    joined = docs.join(small_side(per_doc, max_rows=20_000), "doc_id")
+    joined = docs.join(small_side(per_doc), "doc_id")
 
     def run(batches):
         for batch in batches:
@@ -105,9 +107,10 @@ def leaks(
                 best: dict[int, tuple] = {}
                 for hit in row["hits"]:
                     theirs = word_hashes([hit["item_text"]])[0]
-                    for a, b in _runs(mine, theirs, hit["shift"], hit["at"]):
-                        if b - a >= min_words and (b - a, -a) > best.get(hit["item_id"], (0, 0))[:2]:
-                            best[hit["item_id"]] = (b - a, -a, hit["shift"])
+                    for line in sorted(hit["lines"], key=lambda x: x["shift"]):
+                        for a, b in _runs(mine, theirs, line["shift"], line["at"]):
+                            if b - a >= min_words and (b - a, -a) > best.get(hit["item_id"], (0, 0))[:2]:
+                                best[hit["item_id"]] = (b - a, -a, line["shift"])
                 out += [{"doc_id": row["doc_id"], "item_id": i, "doc_word": -a + s, "item_word": -a, "n_words": n} for i, (n, a, s) in best.items()]
             if out:
                 yield pa.RecordBatch.from_pylist(out, pa.schema([(c, pa.int64()) for c in ("doc_id", "item_id", "doc_word", "item_word", "n_words")]))

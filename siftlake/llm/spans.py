@@ -21,6 +21,10 @@ from siftlake.llm.joins import small_side
 from siftlake.session import checkpoint
 
 
+#: A key that more texts have is looked at in full windows.
+HOT = 8
+
+
 @lru_cache
 def difference_cover(q: int) -> tuple[int, tuple[int, ...]]:
     """Period q*q + q + 1 and a cover of q + 1 residues, for a prime q: a Singer difference set.
@@ -122,7 +126,7 @@ def shared_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
     )
     marked = _anchor_table(once, v, cover, width, positions=True).join(small_side(several), "h")
     places = marked.groupBy("id").agg(F.collect_set("pos").alias("at"))  # of one text: bounded by its length
-    likely = checkpoint(plain.join(small_side(places, 100_000), "id").dropDuplicates(["id"]))
+    likely = checkpoint(plain.join(small_side(places), "id").dropDuplicates(["id"]))
 
     # A span with an anchor has l characters before and at least min_chars - width - l after it. For one
     # of a few cuts of l, the window between neighbouring cuts is shared whole: min_chars less one step.
@@ -134,16 +138,36 @@ def shared_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
             for row in batch.to_pylist():
                 values, _ = hashing.codes([row["text"]])
                 sums, at = hashing.prefix(values), np.array(row["at"], np.int64)
-                found = []
+                found, where = [], []
                 for low, high in zip(cuts, cuts[1:]):
                     begin, end = at - low, at + width + rest - high
                     ok = (begin >= 0) & (end <= len(values))
                     found.append(hashing.span(sums, begin[ok], end[ok]))
-                keys = np.unique(np.concatenate(found)).view(np.int64)
+                    where.append(begin[ok] * (1 << 20) + (end[ok] - begin[ok]))
+                keys, first = np.unique(np.concatenate(found), return_index=True)
                 if len(keys):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), row["id"]), pa.int64()), pa.array(keys, pa.int64())], ["id", "k"])
+                    begin, size = np.divmod(np.concatenate(where)[first], 1 << 20)
+                    columns = [np.full(len(keys), row["id"]), keys.view(np.int64), begin, size]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["id", "k", "begin", "size"])
+
+    keys = checkpoint(likely.mapInArrow(narrow, "id long, k long, begin long, size long"))
+    # A key of many texts may be a passage just short of min_chars, none of whose pairs would hold. It gives way to
+    # the hashes of the full windows around it, so that only texts that share min_chars characters meet.
+    hot = small_side(keys.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("k"))
+    around = keys.join(hot, "k").groupBy("id").agg(F.collect_set(F.struct("begin", "size")).alias("around"))  # of one text: bounded by its length
 
-    keys = checkpoint(likely.mapInArrow(narrow, "id long, k long"))
+    def widen(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                values, _ = hashing.codes([row["text"]])
+                sums = hashing.prefix(values)
+                starts = np.unique(np.concatenate([np.arange(max(0, x["begin"] + x["size"] - min_chars), min(x["begin"], len(values) - min_chars) + 1) for x in row["around"]]))
+                if len(starts):
+                    full = np.unique(hashing.span(sums, starts, starts + min_chars)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(full), row["id"]), pa.int64()), pa.array(full, pa.int64())], ["id", "k"])
+
+    wide = likely.select("id", "text").join(small_side(around), "id").mapInArrow(widen, "id long, k long")
+    keys = checkpoint(keys.join(hot, "k", "left_anti").select("id", "k").unionByName(wide))
     # A passage that many texts share has a key at each of its windows, all with the same texts: one key
     # for each set of texts is enough, else its pairs would come once a window. Sets are told apart by
     # size, least and greatest id and 128 bits of hash.

@@ -269,3 +269,12 @@ def test_least_costs():
         assert syntax.repair(code, "python")[0] == cost, code
     for code, cost in [("x = a ? 1;\n", 1), ("x = 1 2;\n", 1), ("f(a b);\n", 1), ("let x = a ? b ? 1 : 2;\n", 1)]:
         assert syntax.repair(code, "javascript")[0] == cost, code
+
+
+def test_credentials_of_any_length_and_distance():
+    f = lambda text, ext="py": [text[a:b] for a, b, _ in credentials.find(text, ext)]
+    key = "aB3" * 2000
+    assert f(f'api_key = "{key}"') == [key]
+    assert f('password: Dict[str, Optional[Union[int, VeryLongTypeNameNumberOne, VeryLongTypeNameNumberTwo]]] = "hunter2Xy9zz"') == ["hunter2Xy9zz"]
+    assert f('password = (  # the comment\n    "hunter2Xy9zz"\n)\n') == ["hunter2Xy9zz"] and f('password = ( # c\n  "hunt"  # d\n  "er2Xy9zz")') == ["hunt", "er2Xy9zz"]
+    assert f('def f(password: str, timeout = "30secondsxx1")') == [] and f('a = "x"\n# note\npassword = "hunter2Xy9zz"') == ["hunter2Xy9zz"]

@@ -151,3 +151,30 @@ def test_tokens_are_counted_whole(spark):
     docs = spark.createDataFrame([(1, "hello world"), (2, None), (3, ""), (4, "x " * 20000), (5, "<|endoftext|>")], "doc_id long, text string")
     n = {r.id: r.n_tokens for r in mixing.count_tokens(docs, "doc_id", "text", []).collect()}
     assert n[1] == 2 and n[2] == n[3] == 0 and n[4] >= 20000 and n[5] > 1
+
+
+def test_a_passage_just_short_of_the_bound_makes_no_pairs(spark):
+    """A third of all texts share 390 characters, a few others 400: only the latter come out, as brute force has it."""
+    import random
+
+    from siftlake.llm import spans
+
+    rng = random.Random(5)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    short, full = noise(390), noise(400)
+    docs = [(i, noise(300) + short + noise(200) if i % 3 == 0 else noise(900)) for i in range(60)] + [(100 + i, noise(50 * i) + full + noise(30)) for i in range(12)] + [(200, None), (201, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    pairs, _ = spans.shared_spans(df)
+    texts = {i: t for i, t in docs if t}
+    grams = {i: {t[k : k + 400] for k in range(len(t) - 399)} for i, t in texts.items()}
+    want = {(a, b) for a in texts for b in texts if a < b and grams[a] & grams[b]}
+    assert {(r.a, r.b) for r in pairs.collect()} == want and len(want) == 66
+
+
+def test_a_document_that_many_items_hit(spark):
+    from siftlake.llm import leakage
+
+    items = [(k, " ".join(f"w{k}x{j}" for j in range(30))) for k in range(40)]
+    docs = [(1, " . ".join(t for _, t in items)), (2, " ".join(items[3][1].split()[5:20])), (3, " ".join(items[3][1].split()[5:19])), (4, None), (5, items[7][1] + " " + items[7][1])]
+    found = leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id, r.n_words) for r in found.collect()} == {(1, k, 30) for k in range(40)} | {(2, 3, 15), (5, 7, 30)}
