@@ -19,7 +19,7 @@ FACT_SCHEMA = "file_id long, kind string, name string, line int, end_line int, d
 
 SOURCES = ["input", "request", "sys.argv", "os.environ", "recv", "read_line"]
 SINKS = ["execute", "system", "popen", "eval", "exec", "open", "loads", "render"]
-SANITIZERS = ["escape", "quote", "sanitize", "validate", "int"]
+SANITIZERS = ["escape", "quote", "sanitize", "validate", "int", "secure_filename", "basename", "realpath", "normpath", "mogrify", "literal_eval", "safe_load", "allowlist", "is_safe_url"]
 _CLEAN = re.compile(r"\b(?:" + "|".join(SANITIZERS) + r")\w*\s*\(", re.A)
 _NAME = re.compile(tx.NAME)
 

@@ -33,8 +33,8 @@ def names_contained(left: DataFrame, right: DataFrame, a: str, b: str, least: in
     x, y = left.select(F.col(a).alias("a")).where("a is not null").distinct(), right.select(F.col(b).alias("b")).where("b is not null").distinct()
 
     def inside(long: DataFrame, c: str, short: DataFrame, s: str) -> DataFrame:
-        # The lengths that occur on the short side: at most as many as a name can be long.
-        sizes = [r[0] for r in short.select(F.length(s)).where(F.length(s) >= least).distinct().orderBy(F.length(s)).limit(512).collect()]
+        # The lengths that occur on the short side, all of them: at most as many as the longest name has characters.
+        sizes = sorted(r[0] for r in short.select(F.length(s)).where(F.length(s) >= least).distinct().collect())
 
         def of_length(n: int):
             pieces = F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substr(F.col(c), i, F.lit(n)))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftlake.plans import data_queries, reference_queries
+from siftlake.plans import data_queries, more_queries, reference_queries
 
-_MODULES = [data_queries, reference_queries]
+_MODULES = [data_queries, reference_queries, more_queries]
 
 
 def queries() -> dict:
