@@ -10,9 +10,12 @@ from __future__ import annotations
 
 import re
 
-#: Edits are first sought so many tokens before the farthest point; in inputs of more than LONG tokens there alone,
-#: so that their costs, though not whether they are 0, may be above the least.
-NEAR, LONG = 32, 4000
+import numpy as np
+
+#: Edits are first sought so many tokens before the farthest point, then everywhere. Costs of more than FEW edits come from
+#: whole tables of costs, which take no longer for more edits.
+NEAR, FEW = 32, 4
+_NEVER = 1 << 28
 
 #: Kinds of groups by their opening bracket; B is an indented block.
 GROUPS = {"(": "P", "[": "S", "{": "C", "B": "B"}
@@ -165,43 +168,106 @@ class Grammar:
             self.good[key] = known
         return known
 
-    def cost(self, rule: str, content: tuple, most: int = 3) -> int:
-        """The least number of edits that make content a `rule`, if that is at most `most`; else
-        a greater number: one for each wrong piece of a list, most + 1 for a single input."""
+    def cost(self, rule: str, content: tuple, most: int | None = None) -> int:
+        """The least number of edits that make content a `rule`, of a list the sum over its pieces; with `most`, most + 1 stands for all that are greater."""
         if self.fits(rule, content):
             return 0
-        key = (rule, content, most)
-        known = self.costs.get(key)
-        if known is None:
-            if rule in self.lists:
-                piece_rule = self.lists[rule]
-                wrong = [piece for piece in self.cut(content) if not self.fits(piece_rule, piece)]
-                known = len(wrong) if len(wrong) > most else sum(self.cost(piece_rule, piece, most) for piece in wrong)
-            else:
-                known = self._repair(self.rules[rule], content, most)
-            self.costs[key] = known
-        return known
+        key = (rule, content)
+        known, below = self.costs.get(key, (None, 0))
+        if known is not None:
+            return known if most is None else min(known, most + 1)
+        if most is not None and below >= most:
+            return most + 1
+        if rule in self.lists:
+            known = 0
+            for piece in self.cut(content):
+                known += self.cost(self.lists[rule], piece, None if most is None else most - known)
+                if most is not None and known > most:
+                    break
+        else:
+            known = self._repair(self.rules[rule], content, below, most)
+        over = most is not None and known > most
+        self.costs[key] = (None, most) if over else (known, 0)
+        return most + 1 if over else known
 
-    def _repair(self, start: int, seq: tuple, most: int) -> int:
+    def _repair(self, start: int, seq: tuple, below: int, most: int | None) -> int:
+        """The least cost, which is more than `below`; most + 1 if it is more than `most`."""
         n = len(seq)
         outer = self._far, self._from, self._to
         self._far = 0
         self._match(start, 0, 0, seq, {})
         # With fewer edits no chart goes beyond the farthest token, so that one more edit lies there or before it.
         self._to = self._far
-        best = None
-        for k in range(1, most + 1):
+        best, k = None, 0
+        while best is None and k < (FEW if most is None else min(most, FEW)):
+            k += 1
             # Few tokens back first: what is found there with k edits is least, as fewer were not enough anywhere.
-            for self._from in dict.fromkeys((max(0, self._to - NEAR), 0 if n <= LONG else max(0, self._to - NEAR))):
+            for self._from in dict.fromkeys((max(0, self._to - NEAR), 0)):
                 ends = self._match(start, 0, k, seq, {})
                 best = min((c + n - e for e, c in ends.items() if c + n - e <= k), default=None)
                 if best is not None:
                     break
-            if best is not None:
-                break
             self._to = max(self._to, self._far)
         self._far, self._from, self._to = outer
-        return most + 1 if best is None else best
+        if best is None and (most is None or most > FEW):
+            best = self._least(start, seq)
+        return best if best is not None and (most is None or best <= most) else most + 1
+
+    def _least(self, start: int, seq: tuple) -> int:
+        """The least cost with any number of edits: for each node a table of costs by start and end, until none gets smaller."""
+        n = len(seq)
+        i, e = np.indices((n + 1, n + 1), dtype=np.int32)
+        nothing = np.where(i == e, 0, _NEVER).astype(np.int32)
+        order, seen, parents = [], {start}, {}
+        todo = [(start, iter(self._parts(start)))]
+        while todo:  # parts before wholes
+            node, parts = todo[-1]
+            for part in parts:
+                parents.setdefault(part, set()).add(node)
+                if part not in seen:
+                    seen.add(part)
+                    todo.append((part, iter(self._parts(part))))
+                    break
+            else:
+                order.append(node)
+                todo.pop()
+        tables, stale = {k: np.full((n + 1, n + 1), _NEVER, np.int32) for k in order}, set(order)
+        while stale:
+            for node in order:
+                if node not in stale:
+                    continue
+                stale.discard(node)
+                kind = self.nodes[node]
+                op, old = kind[0], tables[node]
+                if op in ("is", "group"):
+                    if kind[1] == "EOS":
+                        new = np.where(e == n, n - i, _NEVER)
+                    else:  # tokens are dropped, and the last one fits or is replaced; or one is inserted
+                        last = np.array([0] + [min(1, c) if (c := self._fits(kind, token, 1)) is not None else 1 for token in seq], np.int32)
+                        new = np.where(e > i, e - i - 1 + last[e], np.where(e == i, 1, _NEVER))
+                elif op == "rule":
+                    new = tables[kind[1]]
+                elif op == "and":
+                    new = tables[kind[1][0]]
+                    for part in kind[1][1:]:
+                        new = _chained(new, tables[part])
+                elif op == "or":
+                    new = np.minimum.reduce([tables[part] for part in kind[1]])
+                else:
+                    new = np.minimum(nothing, tables[kind[1]])
+                    while op != "?" and (more := _chained(new, new)).tobytes() != new.tobytes():
+                        new = more
+                    if op == "+":
+                        new = _chained(tables[kind[1]], new)
+                new = np.minimum(old, new).astype(np.int32)
+                if (new < old).any():
+                    tables[node] = new
+                    stale |= parents.get(node, set())
+        return int((tables[start][0] + n - np.arange(n + 1)).min())
+
+    def _parts(self, node: int) -> tuple:
+        kind = self.nodes[node]
+        return () if kind[0] in ("is", "group") else kind[1] if kind[0] in ("and", "or") else (kind[1],)
 
     def _match(self, node: int, i: int, k: int, seq: tuple, chart: dict) -> dict[int, int]:
         kind = self.nodes[node]
@@ -294,3 +360,13 @@ class Grammar:
                 c = self.cost(kind[2], content, most)
                 return c if c <= most else None
         return None
+
+
+def _chained(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least costs of a, then b."""
+    if len(a) <= 48:
+        return np.minimum((a[:, :, None] + b[None]).min(1), _NEVER)
+    out = np.full_like(a, _NEVER)
+    for k in range(len(a)):  # a table has no ends before its starts
+        np.minimum(out[: k + 1, k:], a[: k + 1, k, None] + b[k, None, k:], out=out[: k + 1, k:])
+    return out

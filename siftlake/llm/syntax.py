@@ -291,13 +291,13 @@ def _js_goes_on(items: list) -> bool:
     return last in _JS_OPEN_ENDED or last in (";", "ASI") or last in _JS_CONTINUES and last not in (")", "]", "}") and last[0] != "~" or last in ("(", "[", "{", "!", "~", "...", "@")
 
 
-def repair(code: str, language: str) -> tuple[int, str | None, int]:
+def repair(code: str, language: str, most: int | None = None) -> tuple[int, str | None, int]:
     """(cost, what happened, line of the first edit) of a file; cost 0 means that it parses.
 
     What happened is conflict (a merge marker outside strings and comments), truncation (all
     edits at the end), mismatch (edits all over: another language, or no code) or local.
-    A piece that three edits cannot mend counts four, and of more than three wrong pieces each
-    counts one, so that only small costs are exact; whether the cost is 0 always is. Empty files parse.
+    Each piece of the file costs its least number of edits, however many; with `most`, that of the pieces in all is
+    looked for up to `most` and counts one more beyond. Whether the cost is 0 doesn't depend on it. Empty files parse.
     """
     if not code.strip():
         return (0 if language != "json" or code == "" else 1), None, 1
@@ -308,7 +308,7 @@ def repair(code: str, language: str) -> tuple[int, str | None, int]:
     missing = _missing(parsed.content, language)
     if not parsed.edits and not missing and g.fits(start, parsed.content):
         return 0, None, 0
-    inner = g.cost(start, parsed.content)
+    inner = g.cost(start, parsed.content, most)
     cost = len(parsed.edits) + inner + missing
     pieces = g.cut(parsed.content) if g.cut and start in g.lists else [parsed.content]
     rule = g.lists.get(start, start)
@@ -340,11 +340,12 @@ def _missing(content: tuple, language: str) -> int:
     return n
 
 
-def repairs(files: DataFrame, listed: DataFrame, file_id: str = "file_id", code: str = "code") -> DataFrame:
+def repairs(files: DataFrame, listed: DataFrame, file_id: str = "file_id", code: str = "code", most: int | None = None) -> DataFrame:
     """(file_id, language, cost, what, line) of each file in a language there is a grammar for.
 
     `listed` has file_id and language. Null code and files without a language are left out,
-    text and unknown have no grammar. Repeated rows come out repeatedly.
+    text and unknown have no grammar. Who asks only whether files parse, or what happened to them, sets `most` and is spared
+    the search for greater costs. Repeated rows come out repeatedly.
     """
     rows = files.select(F.col(file_id).cast("long").alias("file_id"), F.col(code).alias("code")).where(F.col("code").isNotNull())
     named = listed.select("file_id", canonical(F.col("language")).alias("language")).where(F.col("language").isin(*LANGUAGES))
@@ -355,7 +356,7 @@ def repairs(files: DataFrame, listed: DataFrame, file_id: str = "file_id", code:
     def run(batches):
         for batch in batches:
             ids, codes, languages = (batch.column(c).to_pylist() for c in ("file_id", "code", "language"))
-            out = [(i, lang, *repair(c, lang)) for i, c, lang in zip(ids, codes, languages)]
+            out = [(i, lang, *repair(c, lang, most)) for i, c, lang in zip(ids, codes, languages)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 

@@ -1,5 +1,6 @@
 import ast
 import json
+import random
 import re
 
 import pytest
@@ -278,3 +279,35 @@ def test_credentials_of_any_length_and_distance():
     assert f('password: Dict[str, Optional[Union[int, VeryLongTypeNameNumberOne, VeryLongTypeNameNumberTwo]]] = "hunter2Xy9zz"') == ["hunter2Xy9zz"]
     assert f('password = (  # the comment\n    "hunter2Xy9zz"\n)\n') == ["hunter2Xy9zz"] and f('password = ( # c\n  "hunt"  # d\n  "er2Xy9zz")') == ["hunt", "er2Xy9zz"]
     assert f('def f(password: str, timeout = "30secondsxx1")') == [] and f('a = "x"\n# note\npassword = "hunter2Xy9zz"') == ["hunter2Xy9zz"]
+
+
+def test_costs_of_any_number_of_edits():
+    from siftlake.llm import syntax
+
+    # more than three edits in one piece, and more than three wrong pieces
+    for code, cost in [("a b c d e f g h i\n", 4), ("x = 1 2 3 4 5 6 7 8 9\n", 4), ("x = 1 2 = = 3\n" * 5, 10), ("x = = = = = = 1\n" * 2, 6)]:
+        assert syntax.repair(code, "python")[0] == cost, code
+        assert syntax.repair(code, "python", most=3)[0] == 4
+    for code, cost in [("x = a b c d e f g h i j k l;\n", 8), ("f(a);\n" + "x = ;\n" * 7, 7)]:
+        assert syntax.repair(code, "javascript")[0] >= 4 and syntax.repair(code, "javascript")[0] <= cost, code
+    far = "x = " + "1 + " * 60 + "= = = " + "1 + " * 60 + "2 3\n"  # far apart in one piece
+    assert syntax.repair(far, "python")[0] == 4
+
+
+def test_tables_of_costs_equal_the_chart():
+    from siftlake.llm import syntax
+
+    rng = random.Random(5)
+    for language, rule in (("python", "stmts1"), ("javascript", "stmts1"), ("go", "stmts1"), ("rust", "last"), ("java", "stmts1"), ("json", "text")):
+        g, _ = syntax._grammar(language)
+        valid = VALID[language][0]
+        for _ in range(4):
+            seq = [t for t in syntax.parse(valid, language).content]
+            begin = rng.randrange(max(1, len(seq) - 9))
+            seq = seq[begin : begin + 9]
+            for _ in range(2):
+                seq[rng.randrange(len(seq))] = rng.choice(["ID", "NUM", ",", "=", ";"])
+            seq = tuple(seq)
+            if not g.fits(rule, seq):
+                least = g._least(g.rules[rule], seq)
+                assert least > 0 and g._repair(g.rules[rule], seq, 0, 4) == min(least, 5), (language, seq)
